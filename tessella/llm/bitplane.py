@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe_count import REMEMBERED, Memo, encode_all, load, pieces, tokenizer_path
+from .bpe_count import REMEMBERED, Memo, piece_encoder, pieces, tokenizer_path
 from .common import ordered, scratch, texts
 
 MAGIC = b"TSPL1"
@@ -151,8 +151,7 @@ _ENCODERS: dict[tuple, Memo] = {}
 
 def encoder(path: str, remembered: int) -> Memo:
     if (path, remembered) not in _ENCODERS:
-        t = load(path)
-        _ENCODERS[path, remembered] = Memo(lambda strings: [np.array(x, "<u4").tobytes() for x in encode_all(t, strings)], remembered)
+        _ENCODERS[path, remembered] = Memo(piece_encoder(path, remembered), remembered)
     return _ENCODERS[path, remembered]
 
 

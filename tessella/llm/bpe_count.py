@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -20,7 +21,10 @@ from pyspark.sql import DataFrame
 from .common import texts
 
 SAFE = re.compile(r"(?<=\S) (?=\S)")
-UNSAFE = re.compile(r"\s | \s")
+#: White space other than space and line feed; a text with any of it is cut by the pattern.
+RARE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: After letters, each of these is a pre-token of its own at the end of a piece.
+ENDS = frozenset(".,;:!?")
 #: Pieces a worker remembers; about 200 bytes each.
 REMEMBERED = 600_000
 
@@ -43,13 +47,15 @@ def load(path: str):
 
 def pieces(text: str) -> list[str]:
     """Cuts a text at spaces that surely start a pre-token; all pieces but the first have lost that space."""
-    return SAFE.split(text) if UNSAFE.search(text) else text.split(" ")
+    if "  " in text or " \n" in text or "\n " in text or any(c in text for c in RARE):
+        return SAFE.split(text)
+    return text.split(" ")
 
 
 class Memo:
-    """What a function of a piece returns, for the pieces seen last. ``many`` maps a list of strings to values."""
+    """What a function of a piece returns, for the pieces seen last. ``many`` maps strings and what precedes them to values."""
 
-    def __init__(self, many: Callable[[list[str]], list], limit: int = REMEMBERED) -> None:
+    def __init__(self, many: Callable[[list[str], str], list], limit: int = REMEMBERED) -> None:
         self.many, self.limit = many, limit
         self.first: dict[str, object] = {}
         self.rest: dict[str, object] = {}
@@ -59,13 +65,11 @@ class Memo:
             self.rest.clear()
         if len(self.first) > self.limit:
             self.first.clear()
-        heads = {x[0] for x in lists} - self.first.keys()
-        new: set[str] = set()
-        for x in lists:
-            new.update(set(x[1:]) - self.rest.keys())
+        heads = {x[0] for x in lists}.difference(self.first)  # looks each up; a difference of key views would walk the map
+        new = set().union(*lists).difference(self.rest)
         for where, keys, lead in ((self.first, list(heads), ""), (self.rest, list(new), " ")):
             if keys:
-                where.update(zip(keys, self.many([lead + k for k in keys]), strict=True))
+                where.update(zip(keys, self.many(keys, lead), strict=True))
 
 
 def whole_tokens(path: str) -> frozenset[str]:
@@ -90,26 +94,85 @@ def counter(path: str, whole: frozenset[str], limit: int = REMEMBERED) -> Memo:
     import regex
 
     t = load(path)
+    merge = merger(t)
     special = [x.content for x in t.get_added_tokens_decoder().values()]
     cut = regex.compile(public_tokenizers.PATTERN).findall
     merged: dict[str, int] = {}
 
-    def many(strings: list[str]) -> list[int]:
+    def one(p: str) -> int:
+        if p in whole:
+            return 1
+        k = merged.get(p)
+        if k is None:
+            k = merged[p] = len(merge(p))
+        return k
+
+    def many(strings: list[str], lead: str) -> list[int]:
         if len(merged) > limit:
             merged.clear()
-        split = [[s] if any(x in s for x in special) else cut(s) for s in strings]
-        new = list({p for ps in split for p in ps if p not in whole} - merged.keys())
-        if new:
-            merged.update(zip(new, (len(e) for e in encode_all(t, new)), strict=True))
-        return [sum(1 if p in whole else merged[p] for p in ps) for ps in split]
+        out = []
+        for s in strings:
+            if s.isalpha():  # one pre-token
+                out.append(one(lead + s))
+            elif s[:-1].isalpha() and s[-1] in ENDS:  # two
+                out.append(one(lead + s[:-1]) + one(s[-1]))
+            elif special and any(x in s for x in special):
+                out.append(len(t.encode(lead + s, add_special_tokens=False).ids))
+            else:
+                out.append(sum(map(one, cut(lead + s))))
+        return out
 
     return _COUNTERS.setdefault((path, limit), Memo(many, limit))
 
 
-def encode_all(t, strings: list[str]) -> list[list[int]]:
-    """Ids of many strings, by the library."""
-    many = getattr(t, "encode_batch_fast", t.encode_batch)
-    return [e.ids for e in many(strings, add_special_tokens=False)]
+def merger(t) -> Callable[[str], list]:
+    """The library's merges on one pre-token: its bytes are spelled as the byte-level alphabet does, then go to the model."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    alphabet = {b: b for b in plain} | {b: 256 + i for i, b in enumerate(rest)}
+    tokenize = t.model.tokenize
+    return lambda p: tokenize(p.encode().decode("latin-1").translate(alphabet))
+
+
+def piece_encoder(path: str, limit: int) -> Callable[[list[str]], list[bytes]]:
+    """Ids of many pieces, as unsigned 32-bit little-endian: pre-tokens by the library's model, each remembered.
+
+    A piece with a special string in it goes through the library as a whole.
+    """
+    import public_tokenizers
+    import regex
+
+    t = load(path)
+    merge = merger(t)
+    special = [x.content for x in t.get_added_tokens_decoder().values()]
+    cut = regex.compile(public_tokenizers.PATTERN).findall
+    merged: dict[str, bytes] = {}
+
+    def packed(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def one(p: str) -> bytes:
+        b = merged.get(p)
+        if b is None:
+            b = merged[p] = packed([x.id for x in merge(p)])
+        return b
+
+    def many(strings: list[str], lead: str) -> list[bytes]:
+        if len(merged) > limit:
+            merged.clear()
+        out = []
+        for s in strings:
+            if s.isalpha():  # one pre-token
+                out.append(one(lead + s))
+            elif s[:-1].isalpha() and s[-1] in ENDS:  # two
+                out.append(one(lead + s[:-1]) + one(s[-1]))
+            elif special and any(x in s for x in special):
+                out.append(packed(t.encode(lead + s, add_special_tokens=False).ids))
+            else:
+                out.append(b"".join(map(one, cut(lead + s))))
+        return out
+
+    return many
 
 
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 512, remembered: int = REMEMBERED) -> DataFrame:
