@@ -172,13 +172,13 @@ def safe_label(text: Column, most: int = 256) -> Column:
 def cypher_text(text: Column) -> Column:
     """For a single-quoted Cypher string."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x00-\x1f\x7f]", " ")
-    return F.regexp_replace(F.regexp_replace(t, r"\\", r"\\\\\\\\"), "'", r"\\\\'")
+    return F.replace(F.replace(t, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
 
 
 def yaml_text(text: Column) -> Column:
     """For a double-quoted YAML string."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"\\", r"\\\\\\\\")
-    return F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(t, '"', r'\\\\"'), r"[\x00-\x1f\x7f]", " "), F.lit('"'))
+    t = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    return F.concat(F.lit('"'), F.regexp_replace(t, r"[\x00-\x1f\x7f]", " "), F.lit('"'))
 
 
 def body(text: Column) -> Column:

@@ -73,7 +73,7 @@ def read_node_link(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
 
     Attributes beyond the core ones are kept as JSON in ``attrs``.
     """
-    doc = spark.read.option("wholetext", True).text(path)
+    doc = spark.read.text(path, wholetext=True)
     item = "array<map<string,string>>"
     both = doc.select(F.from_json("value", f"nodes {item}, links {item}, edges {item}, hyperedges {item}, graph map<string,string>").alias("d"))
     n = both.select(F.explode("d.nodes").alias("m"))

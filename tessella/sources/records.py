@@ -71,7 +71,7 @@ def symbol_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """symbols (symbol, document, id) and refs (source, symbol, document, relation) of a symbol-index JSON file; flags must be true."""
     rel = "symbol string, is_implementation boolean, is_type_definition boolean, is_definition boolean, is_reference boolean"
     kind = f"documents array<struct<relative_path:string,symbols:array<struct<symbol:string,display_name:string,relationships:array<struct<{rel.replace(' ', ':').replace(',:', ',')}>>>>>>"
-    raw = spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", kind)["documents"]).alias("d"))
+    raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", kind)["documents"]).alias("d"))
     s = raw.select(F.col("d.relative_path").alias("document"), F.explode("d.symbols").alias("s"))
     symbols = s.select("s.symbol", "document", F.concat_ws("#", "document", "s.symbol").alias("id"))
     r = s.select("document", F.concat_ws("#", "document", "s.symbol").alias("source"), F.explode("s.relationships").alias("r"))
@@ -81,7 +81,7 @@ def symbol_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def memory_docs(spark: SparkSession, folder: str) -> DataFrame:
     """date, question, outcome, correction, source_nodes, path of the saved answers in a folder."""
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(folder).select("value", F.col("_metadata.file_path").alias("path"))
+    raw = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
     return raw.select(parse_memory(F.col("value")).alias("m"), "path").select("m.*", "path").where("question is not null")
 
 
