@@ -9,7 +9,7 @@ all rows of the shard search. In a task found neighbours are united at once and
 it, so a dense group gives rows in proportion to its size. Components are found from those links.
 
 Word-shingle near duplicates at a similarity (``similar_documents``) need a far wider radius than blocks of 64 bits allow, so
-there fingerprints have 256 bits, and shards are content-defined pieces of the text: edits that keep 0.8 of five-word shingles
+there fingerprints have 512 bits, and shards are content-defined pieces of the text: edits that keep 0.8 of five-word shingles
 leave most pieces of about 15 words whole, so near duplicates meet in a shard. A piece in very many texts is keyed together
 with its successor.
 """
@@ -37,7 +37,10 @@ ONES = np.uint64(0x0101010101010101)
 SHARD = 4_000
 #: A piece in more texts than this is keyed with the piece after it.
 COMMON = 500
-MIXERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
+MIXERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)
+WIDE = 64 * (1 + len(MIXERS))
+#: Up to so many words a text is also cut into finer pieces.
+SHORT = 80
 
 
 def shingle_hashes(text: str, size: int) -> Iterator[np.ndarray]:
@@ -74,8 +77,8 @@ def simhash(text: str, size: int = 3) -> int:
 
 
 def wide_simhash(text: str, size: int = 5) -> bytes:
-    """256 bits: the shingle hash and three remixes of it."""
-    count, n = np.zeros(256, "i8"), 0
+    """512 bits: the shingle hash and seven remixes of it."""
+    count, n = np.zeros(WIDE, "i8"), 0
     for h in shingle_hashes(text, size):
         for i, m in enumerate((None, *MIXERS)):
             g = h
@@ -229,9 +232,14 @@ def simhash_components(docs: DataFrame, radius: int = 2, size: int = 3) -> DataF
     return rows.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def text_pieces(text: str, every: int = 10, least: int = 5) -> list[int]:
-    """Hashes of content-defined pieces: a piece ends after a word whose hash is 0 modulo ``every``, not before ``least`` words."""
+def text_pieces(text: str) -> list[int]:
+    """Hashes of content-defined pieces of about 15 words; of short texts also of about 6."""
     words = text.encode().lower().split()
+    return pieces_of(words, 10, 5) + (pieces_of(words, 4, 3) if len(words) <= SHORT else [])
+
+
+def pieces_of(words: list[bytes], every: int, least: int) -> list[int]:
+    """A piece ends after a word whose hash is 0 modulo ``every``, not before ``least`` words."""
     digest, out, at = xxhash.xxh3_64_intdigest, [], 0
     ends: dict[bytes, bool] = {}
     for i, w in enumerate(words):
@@ -246,10 +254,10 @@ def text_pieces(text: str, every: int = 10, least: int = 5) -> list[int]:
     return out
 
 
-def radius_for(similarity: float, slack: float = 3.0) -> int:
-    """Bits of 256 by which sets of the given Jaccard similarity differ on average, and a little more."""
-    cosine = 2 * similarity / (1 + similarity)
-    return int(256 * math.acos(cosine) / math.pi + slack)
+def radius_for(similarity: float, slack: float = 1.7) -> int:
+    """Bits by which wide fingerprints of the given Jaccard similarity differ on average, and ``slack`` standard deviations."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(WIDE * p + slack * math.sqrt(WIDE * p * (1 - p)))
 
 
 def text_version(text: str) -> bytes:
