@@ -79,3 +79,23 @@ def type_references(edges: DataFrame, types: DataFrame, relations: tuple[str, ..
     e = edges.withColumn("name", F.when(F.col("relation").isin(*relations) & F.col("target").startswith("type:"), F.substring("target", 6, 1 << 20)))
     out = e.join(own, ["namespace", "name"], "left").join(once, "name", "left")
     return out.withColumn("target", F.coalesce("_near", "_far", "target")).select(*edges.columns)
+
+
+def sourced_scripts(calls: DataFrame, files: DataFrame) -> DataFrame:
+    """source, target, relation of ``source x.sh`` lines: the path joined to the calling file's folder, parents resolved, must exist.
+
+    ``calls``: source_file, argument; ``files``: path.
+    """
+    folder = F.regexp_replace("source_file", r"/?[^/]*$", "")
+    raw = F.regexp_replace(F.concat_ws("/", F.nullif(folder, F.lit("")), F.regexp_replace("argument", r"^[\"']|[\"']$", "")), r"(^|/)\./", "$1")
+    # each step folds one a/.. ; a path has at most as many as segments, and eight are ample
+    for _ in range(8):
+        raw = F.regexp_replace(raw, r"(^|/)(?!\.\./)[^/]+/\.\.(/|$)", "$1")
+    return calls.withColumn("path", raw).join(files.select("path").distinct(), "path", "left_semi").select(F.col("source_file").alias("source"), F.col("path").alias("target"), F.lit("imports").alias("relation")).where("source <> target").distinct()
+
+
+def resolve_chain(edges: DataFrame, *resolvers) -> DataFrame:
+    """Resolvers applied in turn; each takes and returns the edges."""
+    for r in resolvers:
+        edges = r(edges)
+    return edges

@@ -228,3 +228,105 @@ def shrink_guard(old: DataFrame, new: DataFrame, force: bool = False, rebuilt: D
         return False
     lost = old.join(new.select("id"), "id", "left_anti")
     return not lost.join(rebuilt.select("source_file").distinct(), "source_file", "left_anti").take(1)
+
+
+# --- classes of graphs ------------------------------------------------------------------------------------------------
+
+
+def to_class(edges: DataFrame, kind: str, pos: str = "pos") -> DataFrame:
+    """Edges of a multigraph as a simple graph (unordered pairs), a digraph (ordered pairs) or unchanged; the last record of a pair wins."""
+    if kind == "multidigraph":
+        return edges
+    if kind not in ("simple", "digraph"):
+        raise ValueError("kind is simple, digraph or multidigraph")
+    ends = ["source", "target"]
+    keys = [F.least(*ends).alias("_a"), F.greatest(*ends).alias("_b")] if kind == "simple" else [F.col("source").alias("_a"), F.col("target").alias("_b")]
+    return edges.groupBy(*keys).agg(F.max_by(F.struct(*edges.columns), F.col(pos)).alias("r")).select("r.*")
+
+
+def least_lossy(kinds: list[str]) -> str:
+    """The class that holds all the given ones."""
+    order = ["simple", "digraph", "multidigraph"]
+    return order[max((order.index(k) for k in kinds), default=0)]
+
+
+def lifted(edges: DataFrame) -> DataFrame:
+    """A simple graph's edges in their true direction, with a key; an edge without one fails, as its direction would be a guess."""
+    known = F.col("true_src").isNotNull() & F.col("true_tgt").isNotNull()
+    sure = lambda c: F.when(known, F.col(c)).otherwise(F.raise_error(F.lit("edge without a recorded direction")))
+    return edges.withColumn("source", sure("true_src")).withColumn("target", sure("true_tgt")).withColumn("key", F.coalesce("key", F.concat_ws("|", "relation", "source_file")))
+
+
+def keyed_first(edges: DataFrame, pos: str = "pos") -> DataFrame:
+    """Records equal but for key, score and origin: a keyed one replaces the keyless, each key once."""
+    rest = [c for c in edges.columns if c not in ("key", "confidence_score", "origin", pos)]
+    h = edges.withColumn("_h", F.sha2(F.to_json(F.struct(*rest)), 256))
+    keyed = h.where("key is not null").select("_h").distinct()
+    w = Window.partitionBy("_h", "key").orderBy(pos)
+    kept = h.where("key is not null").unionByName(h.where("key is null").join(keyed, "_h", "left_anti").select(*h.columns))
+    return kept.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_h", "_r")
+
+
+def checked_ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges with live ends; a dangling edge from the syntax tree goes, any other fails the job."""
+    ids = nodes.select("id").distinct()
+    j = edges.join(ids.select(F.col("id").alias("source"), F.lit(True).alias("_s")), "source", "left").join(ids.select(F.col("id").alias("target"), F.lit(True).alias("_t")), "target", "left")
+    live = F.coalesce("_s", F.lit(False)) & F.coalesce("_t", F.lit(False))
+    ast = F.coalesce("origin", F.lit("")) == "ast"
+    return j.where(F.when(live, True).when(ast, False).otherwise(F.raise_error(F.concat(F.lit("dangling edge "), "source", F.lit(" -> "), "target")).cast("boolean"))).select(*edges.columns)
+
+
+def renamed_nodes(old: DataFrame, fresh: DataFrame) -> DataFrame:
+    """old, new: an old syntax-tree id and the fresh one of the same source, label, kind and place, else of the same without the place; unique ones only."""
+    cols = ["source_file", "label", "file_type"]
+    gone = old.join(fresh.select("id"), "id", "left_anti").select("id", *cols, "source_location")
+
+    def match(left: DataFrame, keys: list[str]) -> DataFrame:
+        a = left.groupBy(*keys).agg(F.min("id").alias("old"), F.max("id").alias("z")).where("old = z").drop("z")
+        b = fresh.groupBy(*keys).agg(F.min("id").alias("new"), F.max("id").alias("z")).where("new = z").drop("z")
+        return a.join(b, keys).select("old", "new")
+
+    first = match(gone, [*cols, "source_location"])
+    rest = gone.join(first.select(F.col("old").alias("id")), "id", "left_anti")
+    return first.union(match(rest, cols))
+
+
+def without_pair(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """All parallel edges between two nodes removed."""
+    return edges.where(~(((F.col("source") == a) & (F.col("target") == b)) | ((F.col("source") == b) & (F.col("target") == a))))
+
+
+def between(edges: DataFrame, a: str, b: str, directed: bool = False) -> DataFrame:
+    e = (F.col("source") == a) & (F.col("target") == b)
+    return edges.where(e if directed else e | ((F.col("source") == b) & (F.col("target") == a)))
+
+
+def merged_metadata(named: dict[str, dict]) -> tuple[dict, dict]:
+    """Metadata of several graphs as one, and what conflicts: equal values stay, lists unite in order, maps merge key by key."""
+    out: dict = {}
+    clash: dict = {}
+    for name, meta in named.items():
+        for k, v in meta.items():
+            if k not in out:
+                out[k] = v
+            elif isinstance(out[k], dict) and isinstance(v, dict):
+                inner, bad = merged_metadata({"a": out[k], name: v})
+                out[k] = inner
+                clash |= {f"{k}.{x}": y for x, y in bad.items()}
+            elif isinstance(out[k], list) and isinstance(v, list):
+                out[k] = out[k] + [x for x in v if x not in out[k]]
+            elif out[k] != v:
+                clash[k] = {"kept": out[k], name: v}
+    return out, clash
+
+
+def strict_violations(nodes: DataFrame, edges: DataFrame, relations: list[str], node_keys: DataFrame | None = None) -> DataFrame:
+    """rule, subject under the strict contract for model-made fragments: known file types and relations, scores in range, no unknown keys."""
+    known = [*FILE_TYPES, "concept"]
+    out = [nodes.where(~F.coalesce(F.col("file_type").isin(*known), F.lit(False))).select(F.lit("unknown file type").alias("rule"), F.col("id").alias("subject"))]
+    subject = F.concat_ws(" -> ", "source", "target")
+    out.append(edges.where(~F.coalesce(F.col("relation").isin(*relations), F.lit(False))).select(F.lit("unknown relation").alias("rule"), subject.alias("subject")))
+    out.append(edges.where("confidence_score is not null and not (confidence_score between 0 and 1)").select(F.lit("score out of range").alias("rule"), subject.alias("subject")))
+    if node_keys is not None:
+        out.append(node_keys.select(F.lit("unknown key").alias("rule"), F.col(node_keys.columns[0]).alias("subject")))
+    return combine(*out, violations(nodes, edges))

@@ -506,6 +506,73 @@ def fuzzy_names(spark, d):
     return fuzzy_pairs(candidates(part))
 
 
+# --- predicates and resolution ----------------------------------------------------------------------------------------
+
+
+@query(" SELECT source, target, \"key\" FROM edges WHERE confidence = 'EXTRACTED' OR (confidence = 'INFERRED' AND confidence_score >= 0.85)", True)
+def sure_edges(spark, d):
+    return supply_graph(spark, d)[1].where(sections.include_edge(F.col("confidence"), F.col("confidence_score"))).select("source", "target", "key")
+
+
+@query(" SELECT id, CASE WHEN regexp_matches(source_file, '\\.(py|rs)$') THEN 'code' ELSE 'doc' END AS category, split_part(source_file, '/', 1) AS top, FALSE AS test, CASE WHEN regexp_matches(source_file, '\\.(py|rs)$') THEN 'code' ELSE 'document' END AS kind FROM nodes", True)
+def path_predicates(spark, d):
+    s = F.col("source_file")
+    return supply_graph(spark, d)[0].select("id", P.category(s).alias("category"), P.top_dir(s).alias("top"), P.is_test(s).alias("test"), P.kind_of(s).alias("kind"))
+
+
+@query(" SELECT arg_max(\"key\", \"key\") AS \"key\", source, target FROM edges GROUP BY source, target", True)
+def class_digraph(spark, d):
+    return merge.to_class(supply_graph(spark, d)[1], "digraph", "key").select("key", "source", "target")
+
+
+@query(", u AS (SELECT label, MIN(id) AS id FROM nodes GROUP BY label HAVING COUNT(DISTINCT id) = 1) SELECT s_name AS source, COALESCE(u.id, n_name) AS target FROM supplier JOIN nation ON s_nationkey = n_nationkey LEFT JOIN u ON label = n_name", True)
+def alias_endpoints(spark, d):
+    nodes = supply_graph(spark, d)[0].where("id not like 'supplier:%'")
+    supplier, nation = load(spark, d, "supplier", "nation")
+    e = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_name").alias("source"), F.col("n_name").alias("target"))
+    return merge.resolve_ends(nodes, e)
+
+
+@query(", u AS (SELECT lower(p_name) AS name, MIN(p_partkey) AS k FROM part GROUP BY 1 HAVING COUNT(*) = 1) SELECT DISTINCT 'supplier:' || CAST(l_suppkey AS VARCHAR) AS source, 'part:' || CAST(k AS VARCHAR) AS target, 'calls' AS relation, 'INFERRED' AS confidence, CAST(0.8 AS DOUBLE) AS confidence_score FROM lineitem JOIN part ON l_partkey = p_partkey JOIN u ON lower(p_name) = name WHERE l_quantity = 7 AND NOT EXISTS (SELECT 1 FROM edges WHERE relation = 'calls' AND source = 'supplier:' || CAST(l_suppkey AS VARCHAR) AND target = 'part:' || CAST(k AS VARCHAR))", True)
+def unique_calls(spark, d):
+    from tessella.operators.calls import unique_calls as resolve
+
+    nodes, edges = supply_graph(spark, d)
+    line, part = load(spark, d, "lineitem", "part")
+    calls = line.where("l_quantity = 7").join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.concat(F.lit("supplier:"), F.col("l_suppkey").cast("string")).alias("caller"), F.col("p_name").alias("callee"), F.lit(False).alias("is_member_call"), F.lit("supply/supplier.py").alias("source_file"))
+    return resolve(calls, nodes.where("id like 'part:%'"), edges)
+
+
+@query("WITH d AS (SELECT doc_id, regexp_matches(text, '" + P.SECRETS[0][1] + "') AS a, regexp_matches(text, '" + P.SECRETS[1][1] + "') AS b, sha256(text) AS digest FROM documents) SELECT doc_id, digest FROM d WHERE a OR b")
+def egress_blocked(spark, d):
+    docs = load(spark, d, "documents")[0].select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.col("text").alias("content"))
+    out = prepare.egress(docs).where("reason in ('private_key', 'provider_key')")
+    return out.select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("doc_id"), "digest")
+
+
+@query("SELECT 'demo::c' || CAST(c_custkey AS VARCHAR) AS id, 'c' || CAST(c_custkey AS VARCHAR) AS local_id, 'demo' AS repo FROM customer")
+def repo_prefix(spark, d):
+    return merge.with_repo(load(spark, d, "customer")[0].select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id")), "demo", ["id"]).select("id", "local_id", "repo")
+
+
+@query("SELECT p_partkey, CASE WHEN length(p_name) >= 80 OR len(string_split_regex(trim(p_name), '[ \\t]+')) >= 8 THEN regexp_matches(p_name, '[.!?:]') ELSE FALSE END AS sentence, lower(p_name) AS bare FROM part")
+def label_predicates(spark, d):
+    return load(spark, d, "part")[0].select("p_partkey", prepare.sentence_like(F.col("p_name")).alias("sentence"), X.bare_name(F.col("p_name")).alias("bare"))
+
+
+@query()
+def wiki_articles(spark, d):
+    from tessella.sources.sinks import wiki
+
+    return wiki(*supply_graph(spark, d))
+
+
+@query()
+def token_benchmark(spark, d):
+    return prepare.token_reduction(load(spark, d, "documents")[0], answer_question(spark, d))
+
+
+
 # --- sections, sinks ------------------------------------------------------------------------------------------------
 
 

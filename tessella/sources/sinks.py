@@ -120,3 +120,69 @@ def mermaid(links: DataFrame, most: int = 60) -> str:
 
 def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
+
+
+def wiki(nodes: DataFrame, edges: DataFrame, top: int = 25) -> DataFrame:
+    """file, text: an article a community with its most connected members, confidence mix of incident edges and links to others."""
+    from tessella.operators.community import cohesion, cross_counts, hub_labels
+    from tessella.operators.prepare import running_top
+
+    d = nodes.join(distinct_degree(nodes, edges), "id").where("community is not null")
+    members = running_top(d, ["community"], [F.desc("degree"), F.col("id")], top).groupBy("community").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", F.concat(F.lit("- "), F.coalesce("label", "id"), F.lit(" ("), F.col("degree").cast("string"), F.lit(")")).alias("t")))), lambda x: x["t"]), "\n").alias("members"))
+    near = running_top(cross_counts(nodes, edges), ["community"], [F.desc("links"), F.col("other")], 10).groupBy("community").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", F.concat(F.lit("- [[community-"), F.col("other").cast("string"), F.lit("]] x"), F.col("links").cast("string")).alias("t")))), lambda x: x["t"]), "\n").alias("near"))
+    c = cohesion(nodes, edges).join(hub_labels(nodes, edges), "community").join(members, "community").join(near, "community", "left")
+    text = F.concat(F.lit("# "), F.coalesce("label", F.lit("community")), F.lit("\n\n"), F.col("size").cast("string"), F.lit(" nodes, cohesion "), F.format_number("cohesion", 3), F.lit("\n\n## Members\n"), "members", F.lit("\n\n## Linked\n"), F.coalesce("near", F.lit("")), F.lit("\n"))
+    return c.select(F.concat(F.lit("community-"), F.col("community").cast("string"), F.lit(".md")).alias("file"), text.alias("text"))
+
+
+def layout(nodes: DataFrame, edges: DataFrame) -> list[tuple[str, str, float, float]]:
+    """(id, label, x, y) on a circle in order of community and id, for at most ``VIEW_NODES`` nodes."""
+    import math
+
+    rows = nodes.select("id", "label", "community").orderBy("community", "id").limit(VIEW_NODES + 1).collect()
+    if len(rows) > VIEW_NODES:
+        raise ValueError(f"a drawing holds at most {VIEW_NODES} nodes; aggregate by community first")
+    n = max(len(rows), 1)
+    return [(r.id, r.label or r.id, 500 + 450 * math.cos(2 * math.pi * i / n), 500 + 450 * math.sin(2 * math.pi * i / n)) for i, r in enumerate(rows)]
+
+
+def svg(nodes: DataFrame, edges: DataFrame) -> str:
+    from html import escape
+
+    at = {i: (x, y, t) for i, t, x, y in layout(nodes, edges)}
+    lines = [f'<line x1="{at[r.source][0]:.1f}" y1="{at[r.source][1]:.1f}" x2="{at[r.target][0]:.1f}" y2="{at[r.target][1]:.1f}" stroke="#999"/>' for r in edges.select("source", "target").distinct().collect() if r.source in at and r.target in at]
+    dots = [f'<circle cx="{x:.1f}" cy="{y:.1f}" r="4"><title>{escape(t)}</title></circle>' for x, y, t in at.values()]
+    return f'<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 1000 1000">{"".join(lines + dots)}</svg>'
+
+
+def canvas(nodes: DataFrame, edges: DataFrame) -> str:
+    """A canvas document: a card a node, placed on a circle, and the links between them."""
+    cards = [{"id": i, "type": "text", "text": t, "x": round(x), "y": round(y), "width": 200, "height": 60} for i, t, x, y in layout(nodes, edges)]
+    links = [{"id": f"e{k}", "fromNode": r.source, "toNode": r.target} for k, r in enumerate(edges.select("source", "target").distinct().orderBy("source", "target").collect())]
+    return json.dumps({"nodes": cards, "edges": links})
+
+
+def write_egress(decisions: DataFrame, path: str) -> None:
+    """The decisions without content, each once, in order."""
+    decisions.select("path", "eligible", "reason", "digest").dropDuplicates().orderBy("path", "digest").write.mode("overwrite").json(path)
+
+
+def saved_answer(spark, question: str, text: str, source_nodes: list[str], outcome: str | None = None, date: str | None = None) -> DataFrame:
+    """One row of a feedback document with at most ten source nodes, for an append."""
+    from tessella.functions.text import slug
+
+    head = [f"date: {date}" if date else "", f"question: {json.dumps(question)}", f"outcome: {outcome}" if outcome else "", f"source_nodes: {json.dumps(source_nodes[:10])}"]
+    body_ = "---\n" + "\n".join(h for h in head if h) + "\n---\n" + text
+    return spark.createDataFrame([(slug(question)[:80] + ".md", body_)], "file string, text string")
+
+
+def push_graph(nodes: DataFrame, edges: DataFrame, connect) -> None:
+    """Sends the Cypher lines to a server, a partition a session. ``connect`` gives a context manager with ``run`` (no client is bundled)."""
+    def send(rows) -> None:
+        with connect() as session:
+            for r in rows:
+                session.run(r.value)
+
+    lines = cypher(nodes, edges)
+    lines.where("value like 'MERGE%'").foreachPartition(send)
+    lines.where("value like 'MATCH%'").foreachPartition(send)
