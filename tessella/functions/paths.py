@@ -97,7 +97,7 @@ def credential_path(path: Column) -> Column:
 
 SECRETS = (
     ("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
-    ("provider_key", r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{30,})"),
+    ("provider_key", r"\b(?:(?:AKIA|ASIA)[0-9A-Z]{16}|AIza[0-9A-Za-z_-]{35}|gh[opsru]_\w{20,}|xox[abeprs]-[\w-]{10,}|sk-[\w-]{20,})"),
 )
 ASSIGNED = r"(?i)(?:password|passwd|secret|token|api_?key|access_?key)[A-Z0-9_]*\s*[:=]\s*[\"']?([^\s\"',;]{12,})"
 

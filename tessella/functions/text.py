@@ -12,12 +12,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# --- plain rules, used by the UDFs and by tests ---------------------------------------------------------------------
+# --- plain rules, used by the UDFs and by tests
 
 
 def fold(label: str | None) -> str:
     """Compatibility form, case folded, runs of non-word characters to one space."""
-    return re.sub(r"[\W_]+", " ", unicodedata.normalize("NFKC", label or "").casefold()).strip()
+    folded = unicodedata.normalize("NFKC", label or "").casefold()
+    return " ".join("".join(c if c.isalnum() else " " for c in folded).split())
 
 
 def slug(text: str | None) -> str:
@@ -92,24 +93,24 @@ def damerau_of(a: str, b: str) -> int:
     return d[-1][-1]
 
 
-VARIANT = re.compile(r"^(.*[a-z])([0-9]+[a-z]*|[a-z]{2,})$")
+VARIANT = re.compile(r"(?P<stem>.*[a-z])(?P<tail>\d+[a-z]*|[a-z][a-z]+)")
 
 
-def variant_pair(a: str, b: str) -> bool:
+def variant_pair(first: str, second: str) -> bool:
     """Short labels with one stem and different version-like endings."""
-    if a == b or max(len(a), len(b)) >= 12:
+    if first == second or len(first) > 11 or len(second) > 11:
         return False
-    x, y = VARIANT.match(a), VARIANT.match(b)
-    return bool(x and y and x.group(1) == y.group(1) and x.group(2) != y.group(2))
+    m, n = (VARIANT.fullmatch(t) for t in (first, second))
+    return bool(m and n and m["stem"] == n["stem"] and m["tail"] != n["tail"])
 
 
-def numbers_differ(a: str, b: str) -> bool:
-    """Whether the multisets of digit runs (leading zeros dropped) differ, where both have any or one has."""
-    x, y = (sorted(n.lstrip("0") or "0" for n in re.findall(r"\d+", t)) for t in (a, b))
-    return x != y
+def numbers_differ(first: str, second: str) -> bool:
+    """Whether the multisets of digit runs (leading zeros dropped) differ."""
+    found = [sorted(n.lstrip("0") or "0" for n in re.findall(r"\d+", t)) for t in (first, second)]
+    return found[0] != found[1]
 
 
-# --- UDFs -----------------------------------------------------------------------------------------------------------
+# --- UDFs
 
 
 def _text(rule):
@@ -134,7 +135,7 @@ def _pair(rule, kind: T.DataType):
 jaro, jaro_winkler = _pair(jaro_of, T.DoubleType()), _pair(jaro_winkler_of, T.DoubleType())
 damerau, is_variant, numbers_apart = _pair(damerau_of, T.IntegerType()), _pair(variant_pair, T.BooleanType()), _pair(numbers_differ, T.BooleanType())
 
-# --- column expressions ---------------------------------------------------------------------------------------------
+# --- column expressions
 
 
 def words(text: Column) -> Column:
@@ -204,14 +205,17 @@ def url_kind(url: Column) -> Column:
 
 def page_markdown(html: Column, most: int | None = None) -> Column:
     """Scripts and styles out, tags to spaces, white space folded; ``most`` cuts the result where the caller wants the cap."""
-    t = F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script>", "")
-    t = F.regexp_replace(F.regexp_replace(t, r"(?is)<style[^>]*>.*?</style>", ""), r"<[^>]+>", " ")
+    t = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</\1>", "")
+    t = F.regexp_replace(t, r"<[^>]+>", " ")
     t = F.trim(F.regexp_replace(t, r"\s+", " "))
     return F.substring(t, 1, most) if most else t
 
 
 #: Signs of an academic paper; three of them in the first 3,000 characters are enough.
-PAPER = (r"(?i)\barxiv\b", r"(?i)\bdoi\s*:", r"(?i)\babstract\b", r"(?i)\bproceedings\b", r"(?i)\bjournal\b", r"(?i)\bpreprint\b", r"\\cite\{", r"\[\d+\]", r"(?i)\beq\.\s*\d+|equation\s+\d+", r"\d{4}\.\d{4,5}", r"(?i)\bwe propose\b", r"(?i)\bliterature\b", r"(?i)\breferences\b")
+PAPER = (
+    r"(?i)\babstract\b", r"(?i)\b(?:arxiv|preprint)\b", r"(?i)\bdoi\s*:", r"(?i)\b(?:journal|proceedings)\b", r"\\cite\{", r"\[\d{1,3}\]",
+    r"(?i)\b(?:eq\.|equation)\s*\(?\d+", r"\b\d{4}\.\d{4,5}\b", r"(?i)\bwe (?:propose|present)\b", r"(?i)\bliterature\b", r"(?i)\breferences\b", r"(?i)\btheorem\b", r"(?i)\bet al\.",
+)
 
 
 def paper_signals(text: Column) -> Column:

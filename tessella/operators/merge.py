@@ -230,7 +230,7 @@ def shrink_guard(old: DataFrame, new: DataFrame, force: bool = False, rebuilt: D
     return not lost.join(rebuilt.select("source_file").distinct(), "source_file", "left_anti").take(1)
 
 
-# --- classes of graphs ------------------------------------------------------------------------------------------------
+# --- classes of graphs
 
 
 def to_class(edges: DataFrame, kind: str, pos: str = "pos") -> DataFrame:

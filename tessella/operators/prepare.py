@@ -61,7 +61,7 @@ def neutralised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"(?i)<(/?)\s*(untrusted[_-]?source|system|assistant)\b", r"&lt;$1$2")
 
 
-# --- slices ---------------------------------------------------------------------------------------------------------
+# --- slices
 
 
 def cut_points(text: str, most: int) -> list[tuple[int, int]]:
@@ -122,7 +122,7 @@ def bisected(slices_: DataFrame) -> DataFrame:
     return m.select(*rest, F.explode(both).alias("h")).select(*rest, "h.half", "h.start", "h.end", "h.text")
 
 
-# --- tokens and packing -----------------------------------------------------------------------------------------------
+# --- tokens and packing
 
 
 def token_estimate(text: Column, most: int = 20_000, overhead: int = 160) -> Column:
@@ -163,7 +163,7 @@ def token_reduction(docs: DataFrame, answer_lines: DataFrame) -> DataFrame:
     return a.join(b).withColumn("ratio", F.round(F.col("corpus_tokens") / F.greatest(F.lit(1), F.coalesce("answer_tokens", F.lit(0))), 1))  # single rows
 
 
-# --- fragments --------------------------------------------------------------------------------------------------------
+# --- fragments
 
 
 def sentence_like(label: Column) -> Column:

@@ -95,7 +95,7 @@ def test_fragments(spark):
 
 def test_entities(spark):
     cols = "id string, label string, file_type string, source_file string, pos int"
-    n = spark.createDataFrame([("userservice", "UserService", "concept", "t.md", 0), ("user_service", "User Service", "concept", "t.md", 1), ("user_service_c1", "user service", "concept", "t.md", 2), ("o", "User Service", "concept", "other.md", 3), ("a1", "ADR 0011 storage layout", "concept", "t.md", 4), ("a2", "ADR 0013 storage layout", "concept", "t.md", 5), ("f1", "loadConfigurationFile", "code", "a.py", 6), ("f2", "loadConfigurationFiles", "code", "b.py", 7), ("g1", "graph extraction pipeline", "concept", "t.md", 8), ("g2", "graph extractoin pipeline", "concept", "t.md", 9)], cols)
+    n = spark.createDataFrame([("userservice", "UserService", "concept", "t.md", 0), ("user_service", "User Service", "concept", "t.md", 1), ("user_service_c1", "user service", "concept", "t.md", 2), ("o", "User Service", "concept", "other.md", 3), ("a1", "ADR 0011 storage layout", "concept", "t.md", 4), ("a2", "ADR 0013 storage layout", "concept", "t.md", 5), ("f1", "loadConfigurationFile", "code", "a.py", 6), ("f2", "loadConfigurationFiles", "code", "b.py", 7), ("g1", "distributed knowledge graph extraction pipeline service", "concept", "t.md", 8), ("g2", "distributed knowledge graph extraction pipelime service", "concept", "t.md", 9)], cols)
     e = spark.createDataFrame([("user_service_c1", "a1", "x"), ("user_service", "a1", "x"), ("user_service", "user_service_c1", "x"), ("g2", "g2", "loop")], "source string, target string, relation string")
     nodes, edges, remap = entity.resolve_entities(n, e)
     got = dict((r.old, r.new) for r in remap.collect())
