@@ -34,7 +34,7 @@ def texts_of(df):
     return [(r.doc_id, r.text or "") for r in df.select("doc_id", "text").collect()]
 
 
-# --- tokens ---------------------------------------------------------------------------------------------------------
+# --- tokens
 
 
 def test_counts_equal_the_library(docs, hard, empty):
@@ -130,7 +130,7 @@ def test_unigram_scores_are_the_best(spark):
         assert got == pytest.approx(best(t))
 
 
-# --- fingerprints ---------------------------------------------------------------------------------------------------
+# --- fingerprints
 
 
 def test_multiset_sums_and_edits(docs, hard, empty):
@@ -237,7 +237,7 @@ def test_near_copies_go_and_others_stay(spark):
     assert simhash.keep_one_of_each(df.where("false")).count() == 0
 
 
-# --- lines ----------------------------------------------------------------------------------------------------------
+# --- lines
 
 
 def brute_lines(rows, least):
@@ -287,7 +287,7 @@ def test_hot_passages_keep_one_place(spark, monkeypatch):
     assert passage in out[0] and all(out[i] == f"start {i}\nend {i}" for i in range(1, 300))
 
 
-# --- nearest neighbours -----------------------------------------------------------------------------------------------
+# --- nearest neighbours
 
 
 def test_neighbours(spark, sf):
@@ -319,7 +319,7 @@ def test_large_lists_are_cut_into_shares(spark, sf, monkeypatch):
     assert postings.recall(postings.nearest(v), v) >= 0.95
 
 
-# --- pages ------------------------------------------------------------------------------------------------------------
+# --- pages
 
 ARTICLE = "First paragraph of the story, long enough to count as text.", "Second one &amp; more,\n  with   white space.", "Short."
 
@@ -360,7 +360,7 @@ def test_page_tables(spark, sf):
     assert main_text.page_texts(odd.where("false")).count() == 0
 
 
-# --- models -----------------------------------------------------------------------------------------------------------
+# --- models
 
 
 def test_toxicity_on_held_out_rows(spark, hard, empty):
