@@ -4,10 +4,26 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the executors this package, once a context: their Python needn't have it on its path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tessella_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix="tessella-")) / "tessella.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(path))  # copied into Spark's own file server, so the folder may be the driver's
+    sc._tessella_shipped = True
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the place all executors share (spark.checkpoint.dir), removed when the driver's JVM ends.
 

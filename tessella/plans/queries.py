@@ -32,7 +32,7 @@ def query(sql: str | None = None, graph: bool = False):
 DEGREE = """, two AS (SELECT source a, target b FROM edges UNION SELECT target, source FROM edges), degree AS (SELECT id, COUNT(b) AS degree FROM nodes LEFT JOIN two ON id = a GROUP BY id)"""
 SCORE = "COALESCE(confidence_score, CASE confidence WHEN 'EXTRACTED' THEN 1.0 WHEN 'INFERRED' THEN 0.5 WHEN 'AMBIGUOUS' THEN 0.2 ELSE 0.0 END)"
 
-# --- topology -------------------------------------------------------------------------------------------------------
+# --- topology
 
 
 @query(DEGREE + " SELECT id, label, degree FROM nodes JOIN degree USING (id) WHERE label <> regexp_extract(source_file, '[^/]+$') ORDER BY degree DESC, id LIMIT 10", True)
@@ -107,7 +107,7 @@ def neighbours(spark, d):
     return topology.neighbours(supply_graph(spark, d)[1], "nation:3")
 
 
-# --- traversal ------------------------------------------------------------------------------------------------------
+# --- traversal
 
 BFS = DEGREE + """, near AS (SELECT DISTINCT a, b FROM two WHERE a <> b), gate AS (SELECT GREATEST(50, MIN(degree)) g FROM (SELECT degree, ROW_NUMBER() OVER (ORDER BY degree) - 1 r, COUNT(*) OVER () n FROM degree) WHERE r >= CAST(FLOOR(0.99 * n) AS BIGINT)),
 l0 AS (SELECT 'nation:3' AS id),
@@ -168,7 +168,7 @@ def components(spark, d):
     return connected_components(line.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("a"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("b")))
 
 
-# --- ranking --------------------------------------------------------------------------------------------------------
+# --- ranking
 
 TERM = "a"
 
@@ -231,7 +231,7 @@ def suggested_questions(spark, d):
     return rank.questions(*supply_graph(spark, d))
 
 
-# --- communities ----------------------------------------------------------------------------------------------------
+# --- communities
 
 
 @query(""", p AS (SELECT DISTINCT LEAST(source, target) a, GREATEST(source, target) b FROM edges WHERE source <> target), i AS (SELECT u.community c, COUNT(*) e FROM p JOIN nodes u ON a = u.id JOIN nodes v ON b = v.id WHERE u.community = v.community GROUP BY 1), s AS (SELECT community, COUNT(*) AS size FROM nodes GROUP BY 1)
@@ -270,7 +270,7 @@ def nation_betweenness(spark, d):
     return community.betweenness(n.where("file_type = 'concept'"), e.where("relation = 'in_region'"))[0].withColumn("score", F.round("score", 6))
 
 
-# --- merge ----------------------------------------------------------------------------------------------------------
+# --- merge
 
 VERSIONS = "SELECT 'o' || CAST(o_custkey AS VARCHAR) AS id, o_orderpriority AS label, o_orderstatus AS source_file, o_orderkey AS pos FROM orders"
 
@@ -357,7 +357,7 @@ def three_way_conflicts(spark, d):
     return _three(spark, d)[1]
 
 
-# --- feedback and impact --------------------------------------------------------------------------------------------
+# --- feedback and impact
 
 NOW = "1998-12-31 00:00:00"
 VOTE = "CASE event_type WHEN 'purchase' THEN 1 WHEN 'error' THEN -1 ELSE 0 END"
@@ -422,7 +422,7 @@ def pr_conflicts(spark, d):
     return impact.conflicts(*_requests(spark, d))
 
 
-# --- documents ------------------------------------------------------------------------------------------------------
+# --- documents
 
 
 @query(r"SELECT doc_id, len(list_filter(string_split_regex(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '')) AS n_words FROM documents")
@@ -506,7 +506,7 @@ def fuzzy_names(spark, d):
     return fuzzy_pairs(candidates(part))
 
 
-# --- predicates and resolution ----------------------------------------------------------------------------------------
+# --- predicates and resolution
 
 
 @query(" SELECT source, target, \"key\" FROM edges WHERE confidence = 'EXTRACTED' OR (confidence = 'INFERRED' AND confidence_score >= 0.85)", True)
@@ -573,7 +573,7 @@ def token_benchmark(spark, d):
 
 
 
-# --- sections, sinks ------------------------------------------------------------------------------------------------
+# --- sections, sinks
 
 
 @query(r"""WITH p AS (SELECT regexp_extract(url, '^https?://([^?#]*)', 1) AS p FROM pages), n AS (SELECT p, COUNT(*) AS n, string_split(p, '/') AS s FROM p GROUP BY p), x AS (SELECT n, s, UNNEST(range(1, len(s) + 1)) AS i FROM n)

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.plans.materialize import ship
+
 NODE = "id string, label string, file_type string, source_file string, community int"
 EDGE = "source string, target string, key string, relation string, confidence string, confidence_score double, weight double, context string, source_file string"
 
@@ -28,6 +30,7 @@ edges AS (
 
 
 def load(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
+    ship(spark)
     return [spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names]
 
 
