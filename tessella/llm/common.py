@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.plans.materialize import scratch, width, written  # noqa: F401
+from tessella.plans.materialize import scratch, ship, width, written  # noqa: F401
 
 #: Rows that cross to Python at once; with long texts a batch stays in the tens of MB.
 ARROW_ROWS = 512
@@ -19,6 +19,8 @@ NULL_KEY = -(2**63)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table, read with Arrow batches small enough for long texts, and the package shipped to the executors."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

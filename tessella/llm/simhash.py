@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.operators.components import connected_components
 
@@ -117,14 +118,15 @@ class BKTree:
                 return len(self.values) - 1
             at = down
 
-    def within(self, value: int, radius: int) -> Iterator[int]:
+    def within(self, value: int, radius: int) -> Iterator[tuple[int, int]]:
+        """Nodes within the radius, and their distances."""
         wait = [0] if self.values else []
         values, children = self.values, self.children
         while wait:
             at = wait.pop()
             d = (values[at] ^ value).bit_count()
             if d <= radius:
-                yield at
+                yield at, d
             edges = children[at]
             if edges:
                 if len(edges) <= 2 * radius + 1:
@@ -133,10 +135,15 @@ class BKTree:
                     wait += [edges[k] for k in range(d - radius, d + radius + 1) if k in edges]
 
 
-def star_links(members: list[tuple], radius: int) -> Iterator[tuple]:
-    """(node, first node) links that join the members within the radius; a member is (node, value, is in the tree)."""
+def star_links(members: list[tuple], radius: int, sure: int) -> Iterator[tuple]:
+    """(node, node, sure) links among the members; a member is (node, value, is in the tree).
+
+    Members at most ``sure`` apart are united at once: each then has one link, to the first of its group. Pairs farther apart,
+    up to ``radius``, come out as they are, unless their groups are one already.
+    """
     tree, parent = BKTree(), list(range(len(members)))
     held: list[int] = []  # which member a tree node is
+    open_: list[tuple[int, int]] = []
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -147,7 +154,10 @@ def star_links(members: list[tuple], radius: int) -> Iterator[tuple]:
     order = sorted(range(len(members)), key=lambda i: (not members[i][2], members[i][0]))
     for i in order:
         value = members[i][1]
-        for at in tree.within(value, radius):
+        for at, d in tree.within(value, radius):
+            if d > sure:
+                open_.append((held[at], i))
+                continue
             a, b = root(held[at]), root(i)
             if a != b:
                 parent[max(a, b)] = min(a, b)
@@ -157,11 +167,19 @@ def star_links(members: list[tuple], radius: int) -> Iterator[tuple]:
                 held.append(i)
     for i in range(len(members)):
         if (r := root(i)) != i:
-            yield members[i][0], members[r][0]
+            yield members[i][0], members[r][0], True
+    for a, b in open_:
+        if root(a) != root(b):
+            x, y = sorted((members[a][0], members[b][0]))
+            yield x, y, False
+
 
+def shard_links(shards: DataFrame, radius: int, node: str, sure: int | None = None) -> DataFrame:
+    """Links a, b (type ``node``) and whether they are sure, among the rows (key, node, value) of each shard.
 
-def shard_links(shards: DataFrame, radius: int, node: str) -> DataFrame:
-    """Links a, b (type ``node``) among the rows (key, node, value) of each shard; ``value`` is binary, little-endian."""
+    ``value`` is binary; ``sure`` is the radius that needs no other test (None: all of it).
+    """
+    sure = radius if sure is None else sure
     n = F.ceil(F.col("n") / SHARD).cast("int")
     many = shards.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", n.alias("blocks"))
     held = shards.join(many, "key")
@@ -174,9 +192,9 @@ def shard_links(shards: DataFrame, radius: int, node: str) -> DataFrame:
         now, members = None, []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if len(members) > 1 and (out := list(star_links(members, radius))):
-                a, b = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], ["a", "b"])
+            if len(members) > 1 and (out := list(star_links(members, radius, sure))):
+                a, b, c = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind), pa.array(c, pa.bool_())], ["a", "b", "sure"])
 
         for b in batches:
             cols = [b.column(i).to_pylist() for i in range(5)]
@@ -187,7 +205,7 @@ def shard_links(shards: DataFrame, radius: int, node: str) -> DataFrame:
                 members.append((x, int.from_bytes(value, "little"), kept))
         yield from flush()
 
-    return placed.mapInArrow(run, f"a {node}, b {node}")
+    return placed.mapInArrow(run, f"a {node}, b {node}, sure boolean")
 
 
 def signed(x: int) -> int:
@@ -254,10 +272,31 @@ def pieces_of(words: list[bytes], every: int, least: int) -> list[int]:
     return out
 
 
-def radius_for(similarity: float, slack: float = 1.7) -> int:
-    """Bits by which wide fingerprints of the given Jaccard similarity differ on average, and ``slack`` standard deviations."""
+def radius_for(similarity: float, deviations: float) -> int:
+    """Bits by which wide fingerprints of the given Jaccard similarity differ on average, and so many standard deviations more."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(WIDE * p + slack * math.sqrt(WIDE * p * (1 - p)))
+    return int(WIDE * p + deviations * math.sqrt(WIDE * p * (1 - p)))
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """version and the distinct shingle hashes of the texts whose version is wanted, once each."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for vs, ts in texts(batches, "version", "text"):
+            sets = [np.unique(np.concatenate([*shingle_hashes(t, size), np.zeros(0, "u8")])).astype("u8").view("i8") for t in ts]
+            yield pa.RecordBatch.from_arrays([pa.array(vs, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["version", "set"])
+
+    own = docs.select(version_column()("text").alias("version"), "text").join(wanted, "version", "left_semi").dropDuplicates(["version"])
+    return own.mapInArrow(run, "version binary, set array<long>")
+
+
+def version_column():
+    @F.pandas_udf(T.BinaryType())
+    def version(t):
+        import pandas as pd
+
+        return pd.Series([text_version(x or "") for x in t])
+
+    return version
 
 
 def text_version(text: str) -> bytes:
@@ -267,8 +306,9 @@ def text_version(text: str) -> bytes:
 def similar_documents(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFrame:
     """doc_id, version (hash of the text), class_id and class_version (the class's first document) of every row.
 
-    Texts are near duplicates if their wide fingerprints are as close as five-word shingle sets of ``similarity`` are. Classes
-    are components of those links; the first document has the smallest doc_id (nulls last), then version. Null texts are empty.
+    Texts are near duplicates if the Jaccard similarity of their ``size``-word shingle sets is at least ``similarity``. Fingerprints
+    two deviations closer than that similarity makes them are taken at once; pairs up to three deviations farther are held to their
+    sets, unless they are united already. Classes are components of those links; the first document has the smallest doc_id (nulls last), then version. Null texts are empty.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +323,13 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, size: int = 5) -
     count = pairs.groupBy("one").agg(F.count("*").alias("n")).where("n > 1")
     keyed = pairs.join(count, "one").select("version", F.when(F.col("n") > COMMON, F.struct(F.lit(1).alias("k"), F.col("two").alias("p"))).otherwise(F.struct(F.lit(0).alias("k"), F.col("one").alias("p"))).alias("key")).distinct()
     shards = keyed.join(one.select("version", "value"), "version").select("key", F.col("version").alias("node"), "value")
-    comp = connected_components(shard_links(shards, radius_for(similarity), "binary"))
+    links = written(shard_links(shards, radius_for(similarity, 3.0), "binary", radius_for(similarity, -2.0)).distinct(), "links")
+    open_ = links.where("not sure").select("a", "b")
+    sets = written(shingle_sets(docs, open_.select(F.explode(F.array("a", "b")).alias("version")).distinct(), size), "sets")
+    a, b = (sets.select(F.col("version").alias(c), F.col("set").alias(f"s{c}")) for c in "ab")
+    both = F.size(F.array_intersect("sa", "sb"))
+    same = open_.join(a, "a").join(b, "b").where(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    comp = connected_components(links.where("sure").select("a", "b").union(same))
     named = one.join(comp, one.version == comp.node, "left").select("version", "first", F.coalesce("component", "version").alias("comp"))
     least = named.groupBy("comp").agg(F.min(F.struct(F.col("first").isNull().alias("null"), "first", "version")).alias("m"))
     found = named.join(least, "comp").select("version", F.col("m.first").alias("class_id"), F.col("m.version").alias("class_version"))
@@ -295,14 +341,8 @@ def keep_one_of_each(docs: DataFrame, similarity: float = 0.8, size: int = 5) ->
 
     Of repeated rows (same doc_id and text) one stays. Texts travel in one shuffle, keyed by their hash and id.
     """
-    @F.pandas_udf("binary")
-    def version(t):
-        import pandas as pd
-
-        return pd.Series([text_version(x or "") for x in t])
-
     found = written(similar_documents(docs, similarity, size), "classes")
     keep = found.where("version = class_version and doc_id <=> class_id").select(F.col("version").alias("_v"), F.col("doc_id").alias("_d")).distinct()
-    own = docs.withColumn("_version", version("text"))
+    own = docs.withColumn("_version", version_column()("text"))
     kept = own.join(keep, (F.col("_version") == F.col("_v")) & F.col("doc_id").eqNullSafe(F.col("_d"))).dropDuplicates(["_version", "doc_id"])
     return kept.select(*docs.columns)
