@@ -26,6 +26,8 @@ BLOCK = {"address", "article", "blockquote", "body", "caption", "center", "dd",
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BOUNDS = {"ul", "ol", "dl", "table", "div", "article", "section", "main", "body", "aside", "nav", "footer", "header", "blockquote"}
 BAD = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adv|adsense|banner|promo\w*|sponsor\w*|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscribe|subscription|signup|login|sidebar|side-?bar|nav|navbar|navigation|menu|breadcrumbs?|footer|foot|masthead|toolbar|share|sharing|social|related|recommend\w*|comments?|comment-?list|disqus|replies|reply|respond|pagination|pager|widget\w*|skip|toc|tags|copyright|disclaimer|alert)(?:$|[\s_-])", re.I)
+#: Class names that say what a container may have, not what it is.
+ABOUT = re.compile(r"^(?:has|is|no|not|with|without|js)[_-]|[_-](?:with|has|no|without)[_-]", re.I)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 WHITE = re.compile(r"\s+")
 
@@ -80,7 +82,7 @@ class Lines(HTMLParser):
             if k == "hidden" or (k == "aria-hidden" and v == "true"):
                 bad = True
             elif v and k in ("class", "id"):
-                bad = bad or (tag not in ("html", "body", "main", "article") and bool(BAD.search(v)))
+                bad = bad or (tag not in ("html", "body", "main", "article") and any(BAD.search(w) and not ABOUT.search(w) for w in v.split()))
             elif v and k == "role":
                 bad = bad or v.lower() in ROLES
                 if v.lower() in ("main", "article") and tag in BOUNDS:

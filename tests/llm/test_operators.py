@@ -334,6 +334,7 @@ def page(body):
         "<nav><ul><li><a href=/>Home</a></li></ul></nav><article>{}</article><footer>&copy; x</footer>",
         "<div class='menu'><a>x</a></div><div id=content><div>{}</div></div><div class='sidebar'><p>Related stories and things to read next.</p></div><div class='comments'><p>Great post, I liked it very much indeed!</p></div>",
         "<header><h2>Site</h2></header><main>{}<aside>Ad text here</aside></main><form><p>Sign up now please</p></form>",
+        "<div class='post has-comments layout-with-sidebar'>{}<section id='comments'><p>First! And a long remark on all of it.</p></section></div>",
         "<div class='cookie-notice'><p>We use cookies on this site to make it better.</p></div>{}<footer><p>Terms</p></footer>",
     ],
 )
