@@ -111,13 +111,13 @@ def communities(nodes: DataFrame, edges: DataFrame, multigraph: bool = True, res
 
     Multigraphs are projected by confidence, others keep their usable weights. Hubs above a degree percentile are left out and
     then join their neighbours' commonest community. Oversized groups (a quarter of the nodes, ten at least) and loose large ones
-    are split again. Graphs above ``local`` nodes use label propagation, without the splits.
+    are split again. Graphs above ``local`` nodes, or ten times as many pairs, use label propagation, without the splits.
     """
     pairs = project(edges, "confidence") if multigraph else edges.where("source <> target").groupBy(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(F.max(usable_weight(F.col("weight"))).alias("weight"))
     live = nodes.select("id").distinct()
     pairs = written(pairs.select("a", "b", "weight").join(live.withColumnRenamed("id", "a"), "a", "left_semi").join(live.withColumnRenamed("id", "b"), "b", "left_semi"), "pairs")
     n = live.count()
-    if n > local:
+    if n > local or pairs.count() > 10 * local:
         found = propagate(pairs)
         whole = live.join(found, "id", "left").select("id", F.coalesce("community", "id").alias("c"))
         sizes = whole.groupBy("c").agg(F.count("*").alias("n"), F.min("id").alias("first"))

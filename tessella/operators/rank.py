@@ -117,8 +117,7 @@ def resolve_seed(nodes: DataFrame, query: str) -> str | None:
 
 
 def render(nodes: DataFrame, edges: DataFrame, visited: DataFrame, budget: int = 2000) -> DataFrame:
-    """Lines of a subgraph by (degree, id), then its edges, cut where three characters a token are used up: pos, line, and a last
-    line that says so. Running lengths need one ordered pass over the subgraph, which the traversal's depth bounds."""
+    """Lines of a subgraph by (degree, id), then its edges, cut where three characters a token are used up: pos, line."""
     d = distinct_degree(nodes, edges)
     n = visited.select("id").join(nodes, "id").join(d, "id")
     node_line = F.concat(F.lit("NODE "), F.coalesce("label", "id"), F.lit(" [src="), F.coalesce("source_file", F.lit("")), F.lit("]"))
@@ -128,7 +127,9 @@ def render(nodes: DataFrame, edges: DataFrame, visited: DataFrame, budget: int =
     inner = t.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi")
     b = inner.select(F.lit(1).alias("part"), F.lit(0).cast("long").alias("rank"), F.concat_ws("\u001f", "a", "b").alias("tie"), F.concat(F.lit("EDGE "), "a", F.lit(" --"), "text", F.lit("-- "), "b").alias("line"))
     order = Window.orderBy("part", "rank", "tie")
-    lines = a.unionByName(b).withColumn("pos", F.row_number().over(order)).withColumn("used", F.sum(F.length("line") + 1).over(order))
+    # a line has 13 characters at least, so no more than this many can be shown: the window sees a bounded, already ordered head
+    head = a.unionByName(b).orderBy("part", "rank", "tie").limit(budget // 4 + 1)
+    lines = head.withColumn("pos", F.row_number().over(order)).withColumn("used", F.sum(F.length("line") + 1).over(order))
     return lines.where(F.col("used") <= 3 * budget).select("pos", "line")
 
 
