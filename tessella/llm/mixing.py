@@ -187,6 +187,7 @@ def with_rates(rows: DataFrame, rates: Rates) -> DataFrame:
         return pd.Series(rates.of(np.array(p.tolist()).reshape(len(p), -1)) if len(p) else [], dtype="float64")
 
     chance = (F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "version", F.lit(20)), F.lit(1 << 40)) / float(1 << 40)).cast("double")
+    rate = rate.asNondeterministic()  # computed once, not once a use
     return rows.withColumn("rate", rate("p")).withColumn("copies", F.floor(F.col("rate") + chance).cast("int"))
 
 
@@ -218,6 +219,7 @@ def repeat_rows(docs: DataFrame, labels: DataFrame, targets: dict[str, float], f
         return pd.DataFrame({"p": model.predict(items).tolist(), "version": [xxhash.xxh3_64_intdigest(x) >> 1 for x in items]})
 
     names = docs.columns
+    again = again.asNondeterministic()
     own = docs.withColumn("_again", again("text"))
     keyed = own.select(*(F.col(c).alias(f"_c_{c}") for c in names), F.col("doc_id"), "_again.p", "_again.version")
     counted = with_rates(keyed, rates).where("copies > 0")

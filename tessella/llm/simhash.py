@@ -296,7 +296,7 @@ def version_column():
 
         return pd.Series([text_version(x or "") for x in t])
 
-    return version
+    return version.asNondeterministic()
 
 
 def text_version(text: str) -> bytes:

@@ -84,7 +84,7 @@ class Lexed:
 
     WIDTH = 12  # words, hits, weight, base, second, shouted, disguised, restored, letters, one character, largest weight, marked
 
-    def __init__(self, lexicon: dict[str, float], limit: int = 500_000) -> None:
+    def __init__(self, lexicon: dict[str, float], limit: int = 250_000) -> None:
         self.lexicon, self.limit = lexicon, limit
         self.known: dict[str, int] = {}
         self.table = np.zeros((1024, self.WIDTH), "f4")
@@ -326,6 +326,7 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, threshold: float = TH
         s = model.score([t or "" for t in items])
         return pd.DataFrame({"held_out": [held_out(None if d != d else int(d)) for d in ids], "score": s, "predicted": (s >= threshold).astype("int32")})
 
+    scored = scored.asNondeterministic()  # else a filter on the score would run it again beside the projection
     return base.select("*", scored(F.col("doc_id"), F.coalesce("text", F.lit(""))).alias("_s")).select("*", "_s.held_out", "_s.score", "_s.predicted").drop("_s")
 
 

@@ -123,6 +123,7 @@ def delete_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFr
 
         return pd.DataFrame([cut_spans(x, s) for x, s in zip(t, spans, strict=True)], columns=["text", "removed_lines", "removed_words"])
 
+    version, cut = version.asNondeterministic(), cut.asNondeterministic()  # computed once, not once a use
     keyed = clean.withColumn("_ver", version("text"))
     joined = keyed.join(spans.withColumnRenamed("_ver", "_v"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_ver") == F.col("_v")), "left").drop("_doc", "_v", "_ver")
     done = joined.withColumn("_cut", F.when(F.col("_spans").isNotNull(), cut(F.when(F.col("_spans").isNotNull(), F.col("text")), F.col("_spans"))))
