@@ -186,9 +186,14 @@ def with_rates(rows: DataFrame, rates: Rates) -> DataFrame:
     def rate(p):
         return pd.Series(rates.of(np.array(p.tolist()).reshape(len(p), -1)) if len(p) else [], dtype="float64")
 
+    rate = rate.asNondeterministic()
+    return rows.withColumn("rate", rate("p")).withColumn("copies", copies())
+
+
+def copies():
+    """The rate's whole part, and one more with the probability of the rest."""
     chance = (F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "version", F.lit(20)), F.lit(1 << 40)) / float(1 << 40)).cast("double")
-    rate = rate.asNondeterministic()  # computed once, not once a use
-    return rows.withColumn("rate", rate("p")).withColumn("copies", F.floor(F.col("rate") + chance).cast("int"))
+    return F.floor(F.col("rate") + chance).cast("int")
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], floor: float = 0.0, model: Posterior | None = None, **options) -> DataFrame:
@@ -211,16 +216,16 @@ def repeat_rows(docs: DataFrame, labels: DataFrame, targets: dict[str, float], f
     rows = written(posteriors(docs, model), "posteriors")
     rates, _ = fit_rates(rows, np.array([targets.get(d, 0.0) for d in DOMAINS], "f8"), floor=floor, **options)
 
-    @F.pandas_udf("p array<double>, version long")
+    @F.pandas_udf("rate double, version long")
     def again(t):
         import xxhash
 
         items = [x or "" for x in t]
-        return pd.DataFrame({"p": model.predict(items).tolist(), "version": [xxhash.xxh3_64_intdigest(x) >> 1 for x in items]})
+        return pd.DataFrame({"rate": rates.of(model.predict(items)), "version": [xxhash.xxh3_64_intdigest(x) >> 1 for x in items]})
 
     names = docs.columns
-    again = again.asNondeterministic()
+    again = again.asNondeterministic()  # computed once, not once a use
     own = docs.withColumn("_again", again("text"))
-    keyed = own.select(*(F.col(c).alias(f"_c_{c}") for c in names), F.col("doc_id"), "_again.p", "_again.version")
-    counted = with_rates(keyed, rates).where("copies > 0")
+    keyed = own.select(*(F.col(c).alias(f"_c_{c}") for c in names), F.col("doc_id"), "_again.rate", "_again.version")
+    counted = keyed.withColumn("copies", copies()).where("copies > 0")
     return counted.select(*(F.col(f"_c_{c}").alias(c) for c in names), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_n")).drop("_n")

@@ -30,7 +30,8 @@ from .common import texts
 SPACE = "▁"
 CUT = re.compile(f"(?<=[^{SPACE}])(?={SPACE})")
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-REMEMBERED = 1_000_000
+#: Words a worker remembers, and half as many pairs: some 130 MB, as workers outlive a task.
+REMEMBERED = 400_000
 NEVER = float("inf")
 
 
@@ -140,7 +141,7 @@ class PieceModel:
         known = self.pairs.get(key)
         if known is None:
             a, b = self.listed[left][0], self.listed[right][0]
-            if len(self.pairs) > self.limit:
+            if len(self.pairs) > self.limit // 2:
                 self.pairs.clear()
             known = self.pairs[key] = self.merge(a + b) == [a, b]
         return known
