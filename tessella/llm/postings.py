@@ -118,10 +118,18 @@ class Centroids:
             out.append(chosen)
         return out
 
-    def lists_for(self, q: np.ndarray, ratio: float, beam: int) -> list[list[int]]:
-        """Distance-ratio pruning: the lists whose centroid is within ``ratio`` of the nearest one's distance."""
+    def lists_for(self, q: np.ndarray, ratio: float, beam: int, sizes: np.ndarray | None = None, least: int = 0) -> list[list[int]]:
+        """Distance-ratio pruning: the lists whose centroid is within ``ratio`` of the nearest one's distance.
+
+        With ``sizes`` farther lists are added until they hold ``least`` entries, so that no query goes short.
+        """
         ids, dist = self.search(q, beam)
-        return [row[(d <= ratio**2 * d[0] + 1e-12) & np.isfinite(d)].tolist() for row, d in zip(ids, dist, strict=True)]
+        keep = dist <= ratio**2 * dist[:, :1] + 1e-12
+        if sizes is not None:
+            held = sizes[ids]
+            keep |= np.cumsum(held, axis=1) - held < least
+        keep &= np.isfinite(dist)
+        return [row[k].tolist() for row, k in zip(ids, keep, strict=True)]
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -184,11 +192,13 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                at = shared.value.lists_for(unit(vectors_of(b, dim), dim), ratio, max(48, int(share * n_lists)))
+                at = shared.value.lists_for(unit(vectors_of(b, dim), dim), ratio, max(48, int(share * n_lists)), held, 16 * (k + 1))
                 t = b.take(pa.array(np.repeat(np.arange(b.num_rows), [len(a) for a in at])))
                 yield pa.RecordBatch.from_arrays([pa.array([i for a in at for i in a], pa.int32()), t.column("id"), t.column("v")], ["list", "id", "v"])
 
     posted = written(folded.select("key", "ids", "v").mapInArrow(post, "list int, key long, ids array<long>, v array<double>"), "postings")
+    counts = {r.list: r.n for r in posted.groupBy("list").agg(F.count("*").alias("n")).collect()}  # at most MAX_LISTS rows
+    held = np.array([counts.get(i, 0) for i in range(len(shared.value.c))])
     asked = rows.where(F.col("id") % every == 0).mapInArrow(ask, "list int, id long, v array<double>")
     shares = posted.groupBy("list").agg(F.ceil(F.count("*") / LIST_ROWS).cast("int").alias("shares"))  # at most MAX_LISTS rows
     small = F.broadcast(shares)

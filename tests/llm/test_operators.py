@@ -313,6 +313,13 @@ def test_copies_ties_and_bad_vectors(spark):
     assert postings.nearest(df.where("vec_id = 50")).count() == 0
 
 
+def test_far_queries_still_get_five(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, (rng.normal(size=8) * 0.01 + 10 * np.eye(8)[(i // 3) % 8] * (1 if i % 2 else -1)).tolist()) for i in range(600)] + [(50_000, [0.1, -9.0, 3.0, 0.5, -4.0, 2.0, 7.0, -1.0])]
+    found = postings.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lists=60).groupBy("query_id").count().collect()
+    assert len(found) == 13 and all(r["count"] == 5 for r in found)
+
+
 def test_large_lists_are_cut_into_shares(spark, sf, monkeypatch):
     monkeypatch.setattr(postings, "LIST_ROWS", 20)
     v = table(spark, sf, "embeddings")
