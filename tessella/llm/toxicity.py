@@ -41,27 +41,28 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def presence(docs: list[list[str]], labels: list[int], folds: int, least: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
+def presence(docs: list[str], labels: list[int], folds: int, least: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """In how many rows of each label and fold a word, or a word beginning (marked by a trailing *), occurs; and the rows.
 
-    Only those in at least ``least`` rows of label 1 are kept.
+    Only those in at least ``least`` rows of label 1 are kept. Texts are split twice rather than held split: that is the
+    smaller part of the work and the larger of the memory.
     """
-    def marks(ws: list[str]) -> set[str]:
-        seen = set(ws)
+    def marks(text: str) -> set[str]:
+        seen = set(words_of(text))
+        ws = list(seen)
         for k in STEM:
             seen |= {w[:k] + "*" for w in ws if len(w) > k}
         return seen
 
-    sets = [marks(ws) for ws in docs]
     ones: Counter = Counter()
-    for s, y in zip(sets, labels, strict=True):
+    for t, y in zip(docs, labels, strict=True):
         if y:
-            ones.update(s)
+            ones.update(marks(t))
     kept = {w: np.zeros((2, folds), "i8") for w, n in ones.items() if n >= least}
     size = np.zeros((2, folds), "i8")
-    for i, (s, y) in enumerate(zip(sets, labels, strict=True)):
+    for i, (t, y) in enumerate(zip(docs, labels, strict=True)):
         size[y, i % folds] += 1
-        for w in s & kept.keys():
+        for w in marks(t) & kept.keys():
             kept[w][y, i % folds] += 1
     return kept, size
 
@@ -261,9 +262,8 @@ class ToxicityModel:
 
     def fit(self, rows: list[tuple[str, int]], folds: int = 4, **options) -> ToxicityModel:
         """Out-of-fold features and scores: a row's lexicon weights and calibration score never come from its own label."""
-        lists = [words_of(t) for t, _ in rows]
         y = np.array([v for _, v in rows], "f8")
-        kept, size = presence(lists, y.astype(int).tolist(), folds, 4)
+        kept, size = presence([t for t, _ in rows], y.astype(int).tolist(), folds, 4)
         self.lexicon = learn_lexicon(kept, size)
         fold = np.arange(len(rows)) % folds
         x = np.zeros((len(rows), len(NAMES)))
