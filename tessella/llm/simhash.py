@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -42,6 +43,8 @@ MIXERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D64
 WIDE = 64 * (1 + len(MIXERS))
 #: Up to so many words a text is also cut into finer pieces.
 SHORT = 80
+#: Sets of fewer common shingles have their share of differing bits counted out; larger ones have the limit's.
+SMALL = 33
 
 
 def shingle_hashes(text: str, size: int) -> Iterator[np.ndarray]:
@@ -77,10 +80,16 @@ def simhash(text: str, size: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * count > n, bitorder="little").tobytes(), "little")
 
 
-def wide_simhash(text: str, size: int = 5) -> bytes:
-    """512 bits: the shingle hash and seven remixes of it."""
-    count, n = np.zeros(WIDE, "i8"), 0
-    for h in shingle_hashes(text, size):
+def shingle_set(text: str, size: int) -> np.ndarray:
+    """The distinct shingle hashes, ascending."""
+    return np.unique(np.concatenate([*shingle_hashes(text, size), np.zeros(0, "u8")])).astype("u8")
+
+
+def wide_simhash(shingles: np.ndarray) -> bytes:
+    """512 bits of a set of shingle hashes: the hash and seven remixes of it. Repeats don't count, as they don't in similarity."""
+    count, n = np.zeros(WIDE, "i8"), len(shingles)
+    for at in range(0, n, STEP):
+        h = shingles[at : at + STEP]
         for i, m in enumerate((None, *MIXERS)):
             g = h
             if m is not None:
@@ -89,7 +98,6 @@ def wide_simhash(text: str, size: int = 5) -> bytes:
                 g = g * np.uint64(MIXERS[0])
                 g ^= g >> np.uint64(32)
             count[64 * i : 64 * i + 64] += bit_counts(g)
-        n += len(h)
     return np.packbits(2 * count > n, bitorder="little").tobytes()
 
 
@@ -272,17 +280,42 @@ def pieces_of(words: list[bytes], every: int, least: int) -> list[int]:
     return out
 
 
-def radius_for(similarity: float, deviations: float) -> int:
-    """Bits by which wide fingerprints of the given Jaccard similarity differ on average, and so many standard deviations more."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(WIDE * p + deviations * math.sqrt(WIDE * p * (1 - p)))
+def differing(both: int, x: int, y: int) -> float:
+    """How probably a bit differs between two sets that share ``both`` shingles and have x and y more."""
+
+    def over(n: int, k: float) -> float:
+        return sum(math.comb(n, i) for i in range(max(0, math.floor(k) + 1), n + 1)) / 2**n
+
+    out = 0.0
+    for c in range(both + 1):
+        p, q = over(x, (both + x) / 2 - c), over(y, (both + y) / 2 - c)
+        out += math.comb(both, c) / 2**both * (p * (1 - q) + q * (1 - p))
+    return out
+
+
+@cache
+def radii(similarity: float, deviations: float = 6.0) -> tuple[int, int]:
+    """Bits between wide fingerprints: (up to which pairs are alike beyond doubt, from which they are not).
+
+    A pair of the similarity differs in a share of bits that depends on how many shingles it has, most for few of them (4 in 5:
+    0.19; many: 0.15 at 0.8). The second bound is so many standard deviations above the largest share of any size, the first
+    as many below the smallest share of pairs that just miss the similarity.
+    """
+    limit = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    high, low = limit, limit
+    for both in range(1, SMALL):
+        most = int(both * (1 - similarity) / similarity + 1e-9)
+        high = max([high, *(differing(both, x, y) for x in range(most + 1) for y in range(x, most - x + 1))])
+        low = min([low, *(differing(both, x, n - x) for n in (most + 1, most + 2) for x in range(n // 2 + 1))])
+    bits = [WIDE * p + sign * deviations * math.sqrt(WIDE * p * (1 - p)) for p, sign in ((low, -1), (high, 1))]
+    return max(0, int(bits[0])), int(bits[1])
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """version and the distinct shingle hashes of the texts whose version is wanted, once each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for vs, ts in texts(batches, "version", "text"):
-            sets = [np.unique(np.concatenate([*shingle_hashes(t, size), np.zeros(0, "u8")])).astype("u8").view("i8") for t in ts]
+            sets = [shingle_set(t, size).view("i8") for t in ts]
             yield pa.RecordBatch.from_arrays([pa.array(vs, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["version", "set"])
 
     own = docs.select(version_column()("text").alias("version"), "text").join(wanted, "version", "left_semi").dropDuplicates(["version"])
@@ -307,14 +340,14 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, size: int = 5) -
     """doc_id, version (hash of the text), class_id and class_version (the class's first document) of every row.
 
     Texts are near duplicates if the Jaccard similarity of their ``size``-word shingle sets is at least ``similarity``. Fingerprints
-    two deviations closer than that similarity makes them are taken at once; pairs up to three deviations farther are held to their
+    six deviations closer than that similarity makes them are taken at once; pairs up to six deviations farther are held to their
     sets, unless they are united already. Classes are components of those links; the first document has the smallest doc_id (nulls last), then version. Null texts are empty.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, ts in texts(batches, "doc_id", "text"):
             cut = [list(map(signed, text_pieces(t))) for t in ts]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([text_version(t) for t in ts], pa.binary()), pa.array([wide_simhash(t, size) for t in ts], pa.binary()), pa.array(cut, pa.list_(pa.int64()))], ["doc_id", "version", "value", "pieces"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([text_version(t) for t in ts], pa.binary()), pa.array([wide_simhash(shingle_set(t, size)) for t in ts], pa.binary()), pa.array(cut, pa.list_(pa.int64()))], ["doc_id", "version", "value", "pieces"])
 
     rows = written(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, version binary, value binary, pieces array<long>"), "similar")
     one = rows.groupBy("version").agg(F.min("doc_id").alias("first"), F.min("value").alias("value"))
@@ -323,7 +356,8 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, size: int = 5) -
     count = pairs.groupBy("one").agg(F.count("*").alias("n")).where("n > 1")
     keyed = pairs.join(count, "one").select("version", F.when(F.col("n") > COMMON, F.struct(F.lit(1).alias("k"), F.col("two").alias("p"))).otherwise(F.struct(F.lit(0).alias("k"), F.col("one").alias("p"))).alias("key")).distinct()
     shards = keyed.join(one.select("version", "value"), "version").select("key", F.col("version").alias("node"), "value")
-    links = written(shard_links(shards, radius_for(similarity, 3.0), "binary", radius_for(similarity, -2.0)).distinct(), "links")
+    sure, radius = radii(similarity)
+    links = written(shard_links(shards, radius, "binary", sure).distinct(), "links")
     open_ = links.where("not sure").select("a", "b")
     sets = written(shingle_sets(docs, open_.select(F.explode(F.array("a", "b")).alias("version")).distinct(), size), "sets")
     a, b = (sets.select(F.col("version").alias(c), F.col("set").alias(f"s{c}")) for c in "ab")

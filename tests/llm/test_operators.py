@@ -237,6 +237,28 @@ def test_near_copies_go_and_others_stay(spark):
     assert simhash.keep_one_of_each(df.where("false")).count() == 0
 
 
+def test_repeats_and_few_words_dont_hide_near_copies():
+    rng = random.Random(6)
+    vocab = [f"w{i}" for i in range(3000)]
+    pairs = []
+    for _ in range(50):
+        own, line = (" ".join(rng.choices(vocab, k=n)) for n in (100, 10))
+        pairs += [(f"{own} {line} {line}", " ".join([own, *[line] * n])) for n in (10, 20)]
+    for n in (1, 3, 8, 9, 12, 40):
+        for _ in range(50):
+            few = rng.choices(vocab, k=n)
+            pairs.append((" ".join(few), " ".join([*few, "more"])))
+    sure, radius = simhash.radii(0.8)
+    found = 0
+    for a, b in pairs:
+        x, y = (simhash.shingle_set(t, 5) for t in (a, b))
+        if len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y)):
+            found += 1
+            u, v = (int.from_bytes(simhash.wide_simhash(s), "little") for s in (x, y))
+            assert (u ^ v).bit_count() <= radius
+    assert found >= 300 and sure < 60
+
+
 # --- lines
 
 
