@@ -9,9 +9,9 @@ all rows of the shard search. In a task found neighbours are united at once and
 it, so a dense group gives rows in proportion to its size. Components are found from those links.
 
 Word-shingle near duplicates at a similarity (``similar_documents``) need a far wider radius than blocks of 64 bits allow, so
-there fingerprints have 512 bits, and shards are content-defined pieces of the text: edits that keep 0.8 of five-word shingles
-leave most pieces of about 15 words whole, so near duplicates meet in a shard. A piece in very many texts is keyed together
-with its successor.
+there fingerprints have 512 bits, and shards are single shingles: of a set of n, the first n - ceil(s n) + 1 in one order of all
+shingles. Two sets of similarity s share one of those, so no pair is lost whatever the size of the table or the group. The order
+puts shingles that are common in a sample last, which keeps shards small; any order is exact.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,12 +37,10 @@ STEP = 255 * 256
 ONES = np.uint64(0x0101010101010101)
 #: Rows of one tree; a larger shard becomes several trees, searched by all its rows.
 SHARD = 4_000
-#: A piece in more texts than this is keyed with the piece after it.
-COMMON = 500
+#: About so many texts are sampled for common shingles, those in at least ``OFTEN`` of them; at most ``COMMON`` are sent to the tasks.
+SAMPLE, OFTEN, COMMON = 5_000, 3, 50_000
 MIXERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)
 WIDE = 64 * (1 + len(MIXERS))
-#: Up to so many words a text is also cut into finer pieces.
-SHORT = 80
 #: Sets of fewer common shingles have their share of differing bits counted out; larger ones have the limit's.
 SMALL = 33
 
@@ -258,26 +256,33 @@ def simhash_components(docs: DataFrame, radius: int = 2, size: int = 3) -> DataF
     return rows.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def text_pieces(text: str) -> list[int]:
-    """Hashes of content-defined pieces of about 15 words; of short texts also of about 6."""
-    words = text.encode().lower().split()
-    return pieces_of(words, 10, 5) + (pieces_of(words, 4, 3) if len(words) <= SHORT else [])
-
-
-def pieces_of(words: list[bytes], every: int, least: int) -> list[int]:
-    """A piece ends after a word whose hash is 0 modulo ``every``, not before ``least`` words."""
-    digest, out, at = xxhash.xxh3_64_intdigest, [], 0
-    ends: dict[bytes, bool] = {}
-    for i, w in enumerate(words):
-        e = ends.get(w)
-        if e is None:
-            e = ends[w] = digest(w) % every == 0
-        if e and i - at + 1 >= least:
-            out.append(digest(b" ".join(words[at : i + 1])))
-            at = i + 1
-    if at < len(words):
-        out.append(digest(b" ".join(words[at:])))
-    return out
+def common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes found in several texts of a sample, ascending, and in how many: at most ``COMMON``."""
+    every = max(1, docs.count() // SAMPLE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (ts,) in texts(batches, "text"):
+            for t in ts:
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, size).view("i8"), pa.int64())], ["h"])
+
+    sample = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
+    found = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
+    got = found.orderBy(F.desc("n"), "h").limit(COMMON).collect()
+    h, n = np.array([r.h for r in got], "i8").view("u8"), np.array([r.n for r in got], "i8")
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def first_shingles(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """As many of the set, rarest first, that any set of the similarity has one of them among its own first ones."""
+    n = len(shingles)
+    if not n:
+        return shingles
+    rank, (h, often) = np.zeros(n, "i8"), common
+    if len(h):
+        at = np.minimum(np.searchsorted(h, shingles), len(h) - 1)
+        rank = np.where(h[at] == shingles, often[at], 0)
+    return shingles[np.lexsort((shingles, rank))[: n - math.ceil(similarity * n - 1e-9) + 1]]
 
 
 def differing(both: int, x: int, y: int) -> float:
@@ -344,18 +349,22 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, size: int = 5) -
     sets, unless they are united already. Classes are components of those links; the first document has the smallest doc_id (nulls last), then version. Null texts are empty.
     """
 
+    common = common_shingles(docs, size)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, ts in texts(batches, "doc_id", "text"):
-            cut = [list(map(signed, text_pieces(t))) for t in ts]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([text_version(t) for t in ts], pa.binary()), pa.array([wide_simhash(shingle_set(t, size)) for t in ts], pa.binary()), pa.array(cut, pa.list_(pa.int64()))], ["doc_id", "version", "value", "pieces"])
-
-    rows = written(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, version binary, value binary, pieces array<long>"), "similar")
-    one = rows.groupBy("version").agg(F.min("doc_id").alias("first"), F.min("value").alias("value"))
-    pairs = rows.select("version", F.posexplode("pieces").alias("at", "one"), "pieces").select("version", "one", F.xxhash64("one", F.coalesce(F.get("pieces", F.col("at") + 1), F.lit(0))).alias("two")).distinct()
-    pairs = written(pairs, "pieces")
-    count = pairs.groupBy("one").agg(F.count("*").alias("n")).where("n > 1")
-    keyed = pairs.join(count, "one").select("version", F.when(F.col("n") > COMMON, F.struct(F.lit(1).alias("k"), F.col("two").alias("p"))).otherwise(F.struct(F.lit(0).alias("k"), F.col("one").alias("p"))).alias("key")).distinct()
-    shards = keyed.join(one.select("version", "value"), "version").select("key", F.col("version").alias("node"), "value")
+            sets = [shingle_set(t, size) for t in ts]
+            versions = [text_version(t) for t in ts]
+            same = [xxhash.xxh3_128_digest(h.tobytes()) if len(h) else v for h, v in zip(sets, versions, strict=True)]
+            first = [first_shingles(h, common, similarity).view("i8") for h in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(versions, pa.binary()), pa.array(same, pa.binary()), pa.array([wide_simhash(h) for h in sets], pa.binary()), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "version", "same", "value", "keys"])
+
+    rows = written(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, version binary, same binary, value binary, keys array<long>"), "similar")
+    # texts of equal sets are one node, named by the version of the first of them
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("first"), "version")).alias("m")
+    one = written(rows.groupBy("same").agg(least, F.first("value").alias("value"), F.first("keys").alias("keys")).select("same", "m.version", "m", "value", "keys"), "sets_once")
+    spread = one.select("version", F.explode("keys").alias("key")).withColumn("n", F.count("*").over(Window.partitionBy("key")))
+    shards = spread.where("n > 1").select("key", "version").join(one.select("version", "value"), "version").select("key", F.col("version").alias("node"), "value")
     sure, radius = radii(similarity)
     links = written(shard_links(shards, radius, "binary", sure).distinct(), "links")
     open_ = links.where("not sure").select("a", "b")
@@ -364,10 +373,9 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, size: int = 5) -
     both = F.size(F.array_intersect("sa", "sb"))
     same = open_.join(a, "a").join(b, "b").where(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
     comp = connected_components(links.where("sure").select("a", "b").union(same))
-    named = one.join(comp, one.version == comp.node, "left").select("version", "first", F.coalesce("component", "version").alias("comp"))
-    least = named.groupBy("comp").agg(F.min(F.struct(F.col("first").isNull().alias("null"), "first", "version")).alias("m"))
-    found = named.join(least, "comp").select("version", F.col("m.first").alias("class_id"), F.col("m.version").alias("class_version"))
-    return rows.select("doc_id", "version").join(found, "version").select("doc_id", "version", "class_id", "class_version")
+    named = one.join(comp, one.version == comp.node, "left").select("same", "m", F.coalesce("component", "version").alias("comp"))
+    found = named.join(named.groupBy("comp").agg(F.min("m").alias("least")), "comp").select("same", F.col("least.first").alias("class_id"), F.col("least.version").alias("class_version"))
+    return rows.select("doc_id", "version", "same").join(found, "same").select("doc_id", "version", "class_id", "class_version")
 
 
 def keep_one_of_each(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFrame:

@@ -259,6 +259,33 @@ def test_repeats_and_few_words_dont_hide_near_copies():
     assert found >= 300 and sure < 60
 
 
+def test_classes_equal_brute_force_without_common_pieces(spark, monkeypatch):
+    """Lone pairs on one template, edited so that they share few stretches, and short texts with a word more."""
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(2000)]
+    line = rng.choices(vocab, k=30)
+    rows = []
+    for i in range(150):
+        ws = [*line, *rng.choices(vocab, k=rng.choice([3, 8, 50, 90]))]
+        if i % 3 == 0:
+            ws = ws[30:]
+        v = list(ws)
+        for at in range(len(v) // 2, len(v), 45):
+            v[at] = "edit"
+        rows += [(1000 + i, " ".join(ws)), (2000 + i, " ".join(v)), (3000 + i, " ".join([*ws, "more"]))]
+    sets = {d: set(simhash.shingle_set(t, 5).tolist()) for d, t in rows}
+    comp = {d: d for d in sets}
+    ids = sorted(sets)
+    links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    while any(comp[a] != comp[b] for a, b in links):
+        for a, b in links:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for common in (50_000, 0):
+        monkeypatch.setattr(simhash, "COMMON", common)
+        assert {r.doc_id: r.class_id for r in simhash.similar_documents(df).collect()} == comp
+
+
 # --- lines
 
 
