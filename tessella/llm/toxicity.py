@@ -5,8 +5,9 @@ word beginnings that mark the label), how near their hits stand to second-person
 digits and symbols inside words (obfuscation), hits once disguised letters are restored, repetition, and length. No label,
 language, source or id is an input of a score.
 
-Fitting takes a bounded sample of labelled rows (``MAX_ROWS`` by hash of the id) to the driver: lexicon, trees and
-calibration curve together are a few hundred kB and travel to the executors in the task closure.
+Fitting takes a bounded sample of labelled rows (``MAX_ROWS`` by hash of the id). Their whole texts stay with the executors,
+which count the words and compute the features; the driver gets only those. Lexicon, trees and calibration curve together
+are a few hundred kB and travel to the executors in the task closure.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import texts, written
 
-#: The bound on labelled rows used for fitting, and on the characters of each that the fit reads.
-MAX_ROWS, MAX_CHARS = 6_000, 6_000
+#: The bound on labelled rows used for fitting.
+MAX_ROWS = 6_000
 THRESHOLD = 0.7
 BASE = frozenset("idiot idiots stupid moron moronic dumb scum trash garbage loser losers pathetic worthless disgusting clown fool ugly hate jerk".split())
 SECOND = frozenset("you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine euch euer ihr ihre usted ustedes tus tuyo su sus vosotros".split())
@@ -41,30 +42,43 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def presence(docs: list[str], labels: list[int], folds: int, least: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """In how many rows of each label and fold a word, or a word beginning (marked by a trailing *), occurs; and the rows.
+def marks(text: str) -> set[str]:
+    """The distinct words of a text and their beginnings, these marked by a trailing *."""
+    seen = set(words_of(text))
+    ws = list(seen)
+    for k in STEM:
+        seen |= {w[:k] + "*" for w in ws if len(w) > k}
+    return seen
 
-    Only those in at least ``least`` rows of label 1 are kept. Texts are split twice rather than held split: that is the
-    smaller part of the work and the larger of the memory.
+
+def presence(rows: DataFrame, at: dict[int, tuple[int, int]], folds: int, least: int) -> dict[str, np.ndarray]:
+    """In how many of the rows (_id, _t) of each label and fold a word or word beginning occurs; ``at`` has label and fold of an id.
+
+    Only those in at least ``least`` rows of label 1 are kept.
     """
-    def marks(text: str) -> set[str]:
-        seen = set(words_of(text))
-        ws = list(seen)
-        for k in STEM:
-            seen |= {w[:k] + "*" for w in ws if len(w) > k}
-        return seen
-
-    ones: Counter = Counter()
-    for t, y in zip(docs, labels, strict=True):
-        if y:
-            ones.update(marks(t))
-    kept = {w: np.zeros((2, folds), "i8") for w, n in ones.items() if n >= least}
-    size = np.zeros((2, folds), "i8")
-    for i, (t, y) in enumerate(zip(docs, labels, strict=True)):
-        size[y, i % folds] += 1
-        for w in marks(t) & kept.keys():
-            kept[w][y, i % folds] += 1
-    return kept, size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, t in zip(b.column("_id").to_pylist(), b.column("_t").to_pylist(), strict=True):
+                if ws := list(marks(t)):
+                    y, k = at[i]
+                    yield pa.RecordBatch.from_arrays([pa.array(ws, pa.string()), pa.array([y * folds + k] * len(ws), pa.int32())], ["w", "c"])
+
+    cells = [F.count(F.when(F.col("c") == c, 1)) for c in range(2 * folds)]
+    found = rows.select("_id", "_t").mapInArrow(run, "w string, c int").groupBy("w").agg(F.array(*cells).alias("n"), F.count(F.when(F.col("c") >= folds, 1)).alias("ones"))
+    return {r.w: np.array(r.n, "i8").reshape(2, folds) for r in found.where(F.col("ones") >= least).select("w", "n").collect()}
+
+
+def feature_rows(rows: DataFrame, at: dict[int, tuple[int, int]], lexicons: list[dict[str, float]]) -> dict[int, list[float]]:
+    """The features of the rows (_id, _t) by id, each with the lexicon of its fold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexed = [Lexed(x, 60_000) for x in lexicons]
+        for b in batches:
+            x = [features(t, lexed[at[i][1]]) for i, t in zip(b.column("_id").to_pylist(), b.column("_t").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(x, pa.list_(pa.float64()))], ["_id", "x"])
+
+    return {r["_id"]: r.x for r in rows.select("_id", "_t").mapInArrow(run, "_id long, x array<double>").collect()}
 
 
 def learn_lexicon(kept: dict[str, np.ndarray], size: np.ndarray, without: int | None = None, least: int = 4, most: int = 3000) -> dict[str, float]:
@@ -260,23 +274,14 @@ class Isotonic:
 class ToxicityModel:
     """Lexicon, trees and calibration; ``score`` takes texts."""
 
-    def fit(self, rows: list[tuple[str, int]], folds: int = 4, **options) -> ToxicityModel:
-        """Out-of-fold features and scores: a row's lexicon weights and calibration score never come from its own label."""
-        y = np.array([v for _, v in rows], "f8")
-        kept, size = presence([t for t, _ in rows], y.astype(int).tolist(), folds, 4)
-        self.lexicon = learn_lexicon(kept, size)
-        fold = np.arange(len(rows)) % folds
-        x = np.zeros((len(rows), len(NAMES)))
-        for k in range(folds):
-            lex = learn_lexicon(kept, size, k)
-            lexed = Lexed(lex)
-            for i in np.flatnonzero(fold == k):
-                x[i] = features(rows[i][0], lexed)
+    def fit(self, lexicon: dict[str, float], x: np.ndarray, y: np.ndarray, **options) -> ToxicityModel:
+        """Features ``x`` are out of fold, and so are the scores here: lexicon weights and calibration score of a row never come from its own label."""
+        self.lexicon = lexicon
         self.trees = Boosted(**options).fit(x, y)
-        out = np.zeros(len(rows))
+        out = np.zeros(len(y))
         for k in range(2):
-            half = np.arange(len(rows)) % 2 == k
-            if len(rows) >= 20:
+            half = np.arange(len(y)) % 2 == k
+            if len(y) >= 20:
                 out[half] = Boosted(**options).fit(x[~half], y[~half]).raw(x[half])
         self.curve = Isotonic().fit(out, y)
         return self
@@ -298,17 +303,24 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(str("" if doc_id is None else doc_id).encode()) % 3 == 1
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> ToxicityModel:
-    """Fits on labelled rows outside the held-out third, at most ``max_rows`` (by hash of doc_id) and ``max_chars`` of each.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, folds: int = 4) -> ToxicityModel:
+    """Fits on the whole texts of labelled rows outside the held-out third, at most ``max_rows`` (by hash of doc_id).
 
     Rows with a null id, label or text are left out; a doc_id labelled twice counts with its largest label. Without any
     labelled row every score is 0.5 or so.
     """
     own = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("_y"))
     own = own.where("crc32(cast(_id as string)) % 3 != 1").orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-    rows = docs.where("text is not null").select(F.col("doc_id").alias("_id"), F.substring("text", 1, max_chars).alias("_t")).join(F.broadcast(own), "_id")  # the limit bounds it
-    got = rows.groupBy("_id", "_y").agg(F.min("_t").alias("_t")).orderBy("_id").collect()
-    return ToxicityModel().fit([(r._t, int(r._y > 0)) for r in got])
+    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_t")).join(F.broadcast(own.withColumn("_id", F.col("_id").cast("long"))), "_id")  # the limit bounds it
+    rows = written(rows.groupBy("_id", "_y").agg(F.min("_t").alias("_t")), "fit")
+    labelled = sorted((r["_id"], int(r["_y"] > 0)) for r in rows.select("_id", "_y").collect())
+    at = {i: (y, k % folds) for k, (i, y) in enumerate(labelled)}
+    size = np.zeros((2, folds), "i8")
+    for y, k in at.values():
+        size[y, k] += 1
+    kept = presence(rows, at, folds, 4)
+    x = feature_rows(rows, at, [learn_lexicon(kept, size, k) for k in range(folds)])
+    return ToxicityModel().fit(learn_lexicon(kept, size), np.array([x[i] for i, _ in labelled]).reshape(len(labelled), len(NAMES)), np.array([y for _, y in labelled], "f8"))
 
 
 def toxicity_scores(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:

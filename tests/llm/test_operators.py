@@ -438,6 +438,19 @@ def test_toxicity_on_held_out_rows(spark, hard, empty):
     assert toxicity.score_rows(docs.limit(3), none).count() == 3
 
 
+def test_the_fit_reads_whole_texts(spark):
+    rng = random.Random(3)
+    vocab = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    rows = [(i, " ".join([*rng.choices(vocab, k=1200), *(["zorgle", "you", "grubnik"] * 5 if i % 3 == 0 else [])]), int(i % 3 == 0)) for i in range(300)]
+    assert min(t.find("zorgle") for _, t, y in rows if y) > 6000
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, y) for d, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(docs, labels)
+    assert {"zorgle", "grubnik"} <= model.lexicon.keys()
+    found = {r.doc_id: r.predicted for r in toxicity.score_rows(docs, model).where("held_out").collect()}
+    assert found and all(p == int(d % 3 == 0) for d, p in found.items())
+
+
 def test_isotonic_and_trees():
     x = np.arange(40.0)
     y = (x > 20).astype(float)
