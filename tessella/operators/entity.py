@@ -17,6 +17,8 @@ from .components import connected_components
 #: Bands and rows of the LSH filter for 128 permutations at 0.7: the pair that evens out both error areas.
 PERMUTATIONS, BANDS, ROWS = 128, 14, 9
 LEAST, ENTROPY = 92.0, 2.5
+#: Added to the score of two long labels of one community.
+BOOST = 5.0
 
 
 def coefficients(n: int = PERMUTATIONS) -> tuple[np.ndarray, np.ndarray]:
@@ -55,12 +57,16 @@ def accepted(a: str, b: str, same_file: bool, anchored: bool, boost: float = 0.0
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
-    """The first node of every normalised label (code aside) whose label has enough entropy: id, norm, file, anchored, pos."""
+    """The first node of every normalised label (code aside) whose label has enough entropy: id, norm, file, anchored, community, pos.
+
+    ``community`` is null where the nodes have none.
+    """
     n = nodes.where("coalesce(file_type, '') <> 'code'").withColumn("norm", normal_label(F.coalesce("label", "id"))).where("norm <> ''")
     anchored = F.coalesce("file_type", F.lit("")).isin("rationale", "document")
-    own = F.struct("id", F.coalesce("source_file", F.lit("")).alias("file"), anchored.alias("anchored"))
+    community = F.col("community") if "community" in nodes.columns else F.lit(None)
+    own = F.struct("id", F.coalesce("source_file", F.lit("")).alias("file"), anchored.alias("anchored"), community.cast("string").alias("community"))
     first = n.groupBy("norm").agg(F.min_by(own, F.struct("pos", "id")).alias("r"), F.min("pos").alias("pos"))
-    return first.where(entropy(F.col("norm")) >= ENTROPY).select("norm", "r.id", "r.file", "r.anchored", "pos")
+    return first.where(entropy(F.col("norm")) >= ENTROPY).select("norm", "r.id", "r.file", "r.anchored", "r.community", "pos")
 
 
 def fuzzy_pairs(cands: DataFrame) -> DataFrame:
@@ -77,10 +83,10 @@ def fuzzy_pairs(cands: DataFrame) -> DataFrame:
             rows = []
             for r in b.itertuples(index=False):
                 m = minhash_of(r.norm, factors=factors).astype("<u8")
-                rows += [(i, int.from_bytes(hashlib.blake2b(m[i * ROWS : (i + 1) * ROWS].tobytes(), digest_size=8).digest(), "little", signed=True), r.id, r.norm, r.file, r.anchored) for i in range(BANDS)]
-            yield pd.DataFrame(rows, columns=["band", "h", "id", "norm", "file", "anchored"])
+                rows += [(i, int.from_bytes(hashlib.blake2b(m[i * ROWS : (i + 1) * ROWS].tobytes(), digest_size=8).digest(), "little", signed=True), r.id, r.norm, r.file, r.anchored, r.community) for i in range(BANDS)]
+            yield pd.DataFrame(rows, columns=["band", "h", "id", "norm", "file", "anchored", "community"])
 
-    rows = cands.select("id", "norm", "file", "anchored").mapInPandas(banded, "band int, h long, id string, norm string, file string, anchored boolean")
+    rows = cands.select("id", "norm", "file", "anchored", "community").mapInPandas(banded, "band int, h long, id string, norm string, file string, anchored boolean, community string")
     size = rows.groupBy("band", "h").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
     held = rows.join(size, ["band", "h"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     spread = held.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -93,7 +99,8 @@ def fuzzy_pairs(cands: DataFrame) -> DataFrame:
             for y in inside:
                 if x["norm"] < y["norm"] or (x["norm"] > y["norm"] and x["own"] != x["block"]):
                     p, q = (x, y) if x["norm"] < y["norm"] else (y, x)
-                    if accepted(p["norm"], q["norm"], p["file"] == q["file"], p["anchored"] and q["anchored"]):
+                    boost = BOOST if isinstance(p["community"], str) and p["community"] == q["community"] else 0.0
+                    if accepted(p["norm"], q["norm"], p["file"] == q["file"], p["anchored"] and q["anchored"], boost):
                         out.append((p["id"], q["id"]))
         return pd.DataFrame(out, columns=["a", "b"])
 
@@ -108,7 +115,7 @@ def exact_pairs(nodes: DataFrame) -> DataFrame:
 
 
 def resolve_entities(nodes: DataFrame, edges: DataFrame, decided: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """nodes, edges and the remap (old, new). ``nodes`` needs id, label, file_type, source_file, pos; ``decided`` may add pairs (a, b).
+    """nodes, edges and the remap (old, new). ``nodes`` needs id, label, file_type, source_file, pos and may have community; ``decided`` may add pairs (a, b).
 
     The winner of a group has no chunk suffix (_c1), then the shortest id, then the first position. Rewired edges lose new
     self-loops and exact repeats. Nodes of several repositories are refused.

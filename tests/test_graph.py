@@ -211,3 +211,18 @@ def test_flow_chain_and_root(spark):
     p = spark.createDataFrame([("x/y/a.py",), ("x/y/z/b.py",)], "path string")
     assert sections.common_root(p) == "x/y"
     assert sections.flow_chain([]) == []
+
+
+def test_labels_of_one_community_merge_at_a_lower_score(spark):
+    from tessella.operators.entity import candidates, fuzzy_pairs, resolve_entities
+
+    rows = [("a", "mapping invoice routing gateway", "concept", "a.md", 1), ("b", "mapping invqze routing gateway", "concept", "b.md", 2)]
+    nodes = spark.createDataFrame(rows, "id string, label string, file_type string, source_file string, pos int")
+    edges = spark.createDataFrame([("a", "c")], "source string, target string")
+    assert fuzzy_pairs(candidates(nodes)).count() == 0
+    for communities, merged in (("1, 1", 1), ("1, 2", 0), ("null, null", 0)):
+        x, y = communities.split(", ")
+        own = nodes.selectExpr("*", f"cast(if(id = 'a', {x}, {y}) as int) as community")
+        assert fuzzy_pairs(candidates(own)).count() == merged
+    kept, _, remap = resolve_entities(nodes.selectExpr("*", "7 as community"), edges.selectExpr("*", "'x' as relation"))
+    assert [tuple(r) for r in remap.collect()] == [("b", "a")] and kept.count() == 1
