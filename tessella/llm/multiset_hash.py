@@ -4,8 +4,8 @@ Every paragraph is hashed to a wide vector, and a document's fingerprint is the
 modulo powers of two. So the order of paragraphs doesn't matter, equal multisets have equal fingerprints, and a paragraph can
 be inserted or deleted by adding or subtracting its vector.
 
-The vector has two parts. Four lanes modulo 2^64 (keyed hashes of the whole paragraph) decide equality. 256 lanes modulo 2^16
-hold signed counts of the paragraph's windows of eight bytes, each at a hashed lane with a hashed sign; as they are sums too,
+The vector has two parts. Four lanes modulo 2^64 (keyed hashes of the whole paragraph) decide equality. 256 lanes modulo 2^32
+(a text of 2 GB doesn't wrap one) hold signed counts of the paragraph's windows of eight bytes, each at a hashed lane with a hashed sign; as they are sums too,
 the cosine of two such parts estimates how much text two documents share, to about 1/16.
 """
 
@@ -25,7 +25,7 @@ KEYS = (0x51, 0xA7, 0x1D3, 0x2EF)
 LANES = 256
 STEP = 1 << 19
 M64 = (1 << 64) - 1
-SIZE = 8 * len(KEYS) + 2 * LANES
+SIZE = 8 * len(KEYS) + 4 * LANES
 
 
 def window_counts(raw: bytes) -> np.ndarray:
@@ -61,20 +61,20 @@ def fingerprint(text: str) -> bytes:
         for i, k in enumerate(KEYS):
             wide[i] += xxhash.xxh3_64_intdigest(p, k)
     c = window_counts(raw)
-    return np.array([x & M64 for x in wide], "<u8").tobytes() + (c[1::2] - c[::2]).astype("<i2").tobytes()
+    return np.array([x & M64 for x in wide], "<u8").tobytes() + (c[1::2] - c[::2]).astype("<i4").tobytes()
 
 
 def combine(a: bytes, b: bytes, sign: int = 1) -> bytes:
     """The fingerprint with the paragraphs of ``b`` inserted (sign 1) or deleted (-1)."""
     n, s = 8 * len(KEYS), np.uint64(sign & M64)
-    return (np.frombuffer(a[:n], "<u8") + np.frombuffer(b[:n], "<u8") * s).tobytes() + (np.frombuffer(a[n:], "<u2") + np.frombuffer(b[n:], "<u2") * np.uint16(sign & 0xFFFF)).tobytes()
+    return (np.frombuffer(a[:n], "<u8") + np.frombuffer(b[:n], "<u8") * s).tobytes() + (np.frombuffer(a[n:], "<u4") + np.frombuffer(b[n:], "<u4") * np.uint32(sign & 0xFFFFFFFF)).tobytes()
 
 
 def likeness(a: bytes, b: bytes) -> float:
     """1 for equal fingerprints, else the cosine of the count lanes, at least 0 and below 1."""
     if a == b:
         return 1.0
-    x, y = (np.frombuffer(v, "<i2", offset=8 * len(KEYS)).astype("f8") for v in (a, b))
+    x, y = (np.frombuffer(v, "<i4", offset=8 * len(KEYS)).astype("f8") for v in (a, b))
     size = float(np.sqrt(x.dot(x) * y.dot(y)))
     return min(max(float(x.dot(y)) / size, 0.0), 0.999999) if size else 0.0
 
