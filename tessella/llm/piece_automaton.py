@@ -15,6 +15,7 @@ the cut. Parts seen before are remembered in a map of bounded size. Characters w
 
 from __future__ import annotations
 
+import heapq
 import re
 import struct
 import zlib
@@ -33,6 +34,8 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Words a worker remembers, and half as many pairs: some 130 MB, as workers outlive a task.
 REMEMBERED = 400_000
 NEVER = float("inf")
+#: Longer texts are merged with a heap instead of a scan for each merge.
+SHORT = 64
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -93,6 +96,8 @@ class PieceModel:
         m._set(listed, remembered)
         return m
 
+    block = 0
+
     def _set(self, listed: list[tuple[str, float, int]], remembered: int) -> None:
         self.listed, self.limit = listed, remembered
         self.unk = next((i for i, x in enumerate(listed) if x[2] == UNKNOWN), 0)
@@ -112,10 +117,21 @@ class PieceModel:
         self.rank = lambda pair: order.get(pair, NEVER)
         self.words: dict[str, bytes] = {}
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p in self.index)
+        # A leading run of marks gives the longest run piece again and again, if all run pieces have one score and none goes on
+        # with another character: merging then fills that piece from the left, and nothing can join it.
+        runs = [p for p in self.index if not p.strip(SPACE)]
+        k, self.block = max(map(len, runs), default=0), 0
+        if k > 1 and len({self.score[self.index[p]] for p in runs}) == 1 and not any(p.startswith(SPACE * 2) and p.strip(SPACE) for p in self.index):
+            if all(self.merge(SPACE * (k + j))[0] == SPACE * k for j in range(2 * k + 1)):
+                self.block = k
 
     def merge(self, text: str) -> list[str]:
         """The merge rule itself: the adjacent pair that makes the piece of best score, leftmost of equals, again and again."""
         s, rank = list(text), self.rank
+        if len(s) > SHORT:
+            k = self.block
+            ready = max(0, (len(text) - len(text.lstrip(SPACE))) // k - 2) if k else 0
+            return [SPACE * k] * ready + self._merge_long(s[ready * k :])
         joined = [rank(s[i] + s[i + 1]) for i in range(len(s) - 1)]  # the priority of each neighbouring pair, lower first
         while joined and (best := min(joined)) < NEVER:
             at = joined.index(best)
@@ -127,6 +143,30 @@ class PieceModel:
                 joined[at] = rank(s[at] + s[at + 1])
         return s
 
+    def _merge_long(self, s: list[str]) -> list[str]:
+        """The merge rule with a heap of pairs over a linked list: n log n."""
+        n, rank = len(s), self.rank
+        size, after, before = [1] * n, list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i, 2) for i in range(n - 1) if (r := rank(s[i] + s[i + 1])) < NEVER]
+        width = [1] * n  # how many of the first symbols stand in one, 0: in another
+        heapq.heapify(heap)
+        while heap:
+            _, i, held = heapq.heappop(heap)
+            j = after[i]
+            if not size[i] or j >= n or width[i] + width[j] != held:  # one of the two has changed since
+                continue
+            s[i] += s[j]
+            width[i] += width[j]
+            size[j] = 0
+            after[i] = after[j]
+            if after[j] < n:
+                before[after[j]] = i
+                if (r := rank(s[i] + s[after[j]])) < NEVER:
+                    heapq.heappush(heap, (r, i, width[i] + width[after[j]]))
+            if (b := before[i]) >= 0 and (r := rank(s[b] + s[i])) < NEVER:
+                heapq.heappush(heap, (r, b, width[b] + width[i]))
+        return [x for x, k in zip(s, size, strict=True) if k]
+
     def compatible(self, left: int, right: int) -> bool:
         """Whether the two pieces stand when their joined string is merged; -1: a character of its own."""
         if left < 0 and right < 0:
@@ -261,6 +301,9 @@ def model(path: str) -> PieceModel:
 def piece_codes(docs: DataFrame, path: str | None = None, ids: bool = False) -> DataFrame:
     """Encodes and decodes every row's whole text: doc_id, n_tokens, ids_crc32, lossless (the decoded ids give the text back).
 
+    The default model is a BPE one, so its pieces are merge results, kept by the compatibility rule above; a unigram model takes
+    the Viterbi scores.
+
     With ``ids`` also the ids themselves. Null text: empty, no ids, lossless. Repeated rows give repeated rows. One narrow
     pass, no shuffle. A text that itself holds the space mark decodes to a space there and so is not lossless.
     """
