@@ -1,14 +1,20 @@
 """Main text of web pages from the standard library's streaming parser.
 
 Parser events become lines: one per block of text, with the tags met while it was read and the place in the tree. Each
-line's text-to-tag ratio is smoothed along the page with a Gaussian kernel; lines above a threshold (a share of the standard
-deviation) form the content cluster, lines near it in the same container join it. Elements that are never article text
-(menus, headers, footers, sidebars, forms, adverts, notices, reader comments) are dropped by tag, role and class words.
+line's text-to-tag ratio (characters outside links over tags) is smoothed along the page with a Gaussian kernel; lines above a
+threshold (a share of the standard deviation) form the content cluster, if some line of their container passes it by itself too.
+The region is the innermost container that holds nearly all of the cluster's text; an article or main element inside it that
+holds much of it is taken instead. The text is what lies in the region between the cluster's ends, and lines near them.
+
+Tags, roles and class words that tell menus, headers, footers, sidebars, adverts, notices and reader comments apart only take lines
+away: their lines count in the smoothed ratios, but neither choose the region nor stay in it. Scripts, forms and other
+elements without article text are not read at all.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -33,13 +39,14 @@ WHITE = re.compile(r"\s+")
 
 
 class Lines(HTMLParser):
-    """Collects lines: [text, tags, link characters, container, good containers]."""
+    """Collects lines: text, tags, link characters, container, whether hints tell against it. All steps are linear in depth."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int]] = []  # tag, silent below, container
-        self.lines: list[tuple[str, int, int, int]] = []
-        self.parent: list[int] = [-1]  # of each container
+        self.stack: list[tuple[str, bool, bool, int]] = []  # tag, silent below, hinted below, container
+        self.open: Counter[str] = Counter()
+        self.lines: list[tuple[str, int, int, int, bool]] = []
+        self.parent: list[int] = [-1]  # of each container, always before it
         self.named: list[str] = ["html"]
         self.buf: list[str] = []
         self.tags = self.links = 0
@@ -48,11 +55,17 @@ class Lines(HTMLParser):
         if self.buf:
             text = WHITE.sub(" ", "".join(self.buf)).strip()
             if text:
-                self.lines.append((text, self.tags, min(self.links, len(text)), self.stack[-1][2] if self.stack else 0))
+                _, _, hinted, box = self.stack[-1] if self.stack else ("", False, False, 0)
+                self.lines.append((text, self.tags, min(self.links, len(text)), box, hinted))
                 self.tags = 0
             self.buf.clear()
         self.links = 0
 
+    def close_from(self, i: int) -> None:
+        for tag, *_ in self.stack[i:]:
+            self.open[tag] -= 1
+        del self.stack[i:]
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
         if tag == "br":
@@ -66,21 +79,22 @@ class Lines(HTMLParser):
             for i in range(len(self.stack) - 1, -1, -1):
                 if self.stack[i][0] in ends:
                     self.end_line()
-                    del self.stack[i:]
+                    self.close_from(i)
                     break
                 if self.stack[i][0] in BOUNDS and self.stack[i][0] not in ends:
                     break
-        silent, box = self.stack[-1][1:] if self.stack else (False, 0)
+        silent, hinted, box = self.stack[-1][1:] if self.stack else (False, False, 0)
         if tag in BLOCK:
             self.end_line()
             if tag in BOUNDS:
                 self.parent.append(box)
                 self.named.append(tag)
                 box = len(self.parent) - 1
-        bad = silent or tag in SILENT or tag in APART
+        silent = silent or tag in SILENT
+        bad = tag in APART
         for k, v in attrs:
             if k == "hidden" or (k == "aria-hidden" and v == "true"):
-                bad = True
+                silent = True
             elif v and k in ("class", "id"):
                 bad = bad or (tag not in ("html", "body", "main", "article") and any(BAD.search(w) and not ABOUT.search(w) for w in v.split()))
             elif v and k == "role":
@@ -90,8 +104,10 @@ class Lines(HTMLParser):
             elif v and k == "itemprop" and v.lower() == "articlebody" and tag in BOUNDS:
                 self.named[box] = "article"
             elif v and k == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v, re.I):
-                bad = True
-        self.stack.append((tag, bad, box))
+                silent = True
+        # a hinted part of a line isn't read; a hinted block is read as lines that are told apart
+        self.stack.append((tag, silent or (bad and tag not in BLOCK), hinted or bad, box))
+        self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         if tag in VOID:
@@ -105,11 +121,13 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag == "br":
             self.buf.append(" ")
+        if self.open[tag] <= 0:
+            return
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
-                if any(t in BLOCK for t, _, _ in self.stack[i:]):
+                if any(x[0] in BLOCK for x in self.stack[i:]):
                     self.end_line()
-                del self.stack[i:]
+                self.close_from(i)
                 return
             if tag not in BLOCK and self.stack[i][0] in BOUNDS:
                 return  # a stray end of an inline element
@@ -118,7 +136,7 @@ class Lines(HTMLParser):
         if self.stack and self.stack[-1][1]:
             return
         self.buf.append(data)
-        if any(t == "a" for t, _, _ in self.stack):
+        if self.open["a"] > 0:
             self.links += len(data)
 
 
@@ -129,7 +147,20 @@ def smooth(x: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return np.convolve(x, k)[r : r + len(x)] / np.convolve(np.ones(len(x)), k)[r : r + len(x)]
 
 
-def main_text(html: str, sigma: float = 1.0, share: float = 0.5) -> str:
+def cluster(raw: np.ndarray, box: np.ndarray, boxes: int, sigma: float, share: float) -> np.ndarray:
+    """Which lines' smoothed ratios pass the threshold, in containers where one passes it by itself."""
+    ratio = smooth(raw, sigma)
+    least = max(share * float(ratio.std()), 1e-9)
+    core = ratio >= least
+    alone = core & (raw >= least)
+    if not alone.any():
+        core = alone = raw >= raw.max()
+    rich = np.zeros(boxes, bool)
+    rich[box[alone]] = True
+    return core & rich[box]
+
+
+def main_text(html: str, sigma: float = 1.0, share: float = 0.5, nearly: float = 0.8, much: float = 0.3) -> str:
     """Blocks of the article joined by an empty line; empty where there is none."""
     p = Lines()
     p.feed(html)
@@ -137,43 +168,50 @@ def main_text(html: str, sigma: float = 1.0, share: float = 0.5) -> str:
     p.end_line()
     if not p.lines:
         return ""
-    over: dict[int, list[int]] = {}
-
-    def chain(box: int) -> list[int]:
-        if box not in over:
-            over[box] = [box, *(chain(p.parent[box]) if p.parent[box] >= 0 else [])]
-        return over[box]
-
-    size = np.array([len(t) for t, *_ in p.lines], "f8")
-    linked = np.array([k for _, _, k, _ in p.lines], "f8")
-    ratio = smooth((size - linked) / (np.array([n for _, n, _, _ in p.lines]) + 1.0), sigma)
-    core = ratio >= max(share * float(ratio.std()), 1e-9)
+    size, tags, linked, box = (np.array(c) for c in zip(*((len(t), n, k, b) for t, n, k, b, _ in p.lines), strict=True))
+    clear = ~np.array([h for *_, h in p.lines])
+    raw = (size - linked) / (tags + 1.0)
+    core = np.zeros(len(raw), bool)
+    for read in (np.arange(len(raw)), np.flatnonzero(clear)):  # without the lines told apart, where the cluster is among those alone
+        if len(read) and not core.any():
+            core[read] = cluster(raw[read], box[read], len(p.parent), sigma, share)
+            core &= clear
     if not core.any():
-        core = ratio >= ratio.max()
-    weight: dict[int, float] = {}
-    for line, s, k, c in zip(p.lines, size, linked, core, strict=True):
-        for b in chain(line[3]):
-            weight[b] = weight.get(b, 0.0) + (s - k if c else 0.0)
-    marked = [b for b in weight if p.named[b] in ("article", "main") and weight[b] > 0]
-    named = [b for b in marked if p.named[b] == "article" and not any(p.named[x] == "article" for x in chain(b)[1:])] or marked
-    if named and max(weight[b] for b in named) >= 0.3 * weight[0]:
-        best = max(weight[b] for b in named)
-        keep = {b for b in named if weight[b] >= 0.5 * best}
-        return "\n\n".join(t for t, _, _, b in p.lines if keep & set(chain(b)))
-    box = 0  # the deepest container that still holds nearly all of the cluster
-    while inner := [b for b in weight if p.parent[b] == box and weight[b] >= 0.8 * weight[box] > 0]:
-        box = inner[0]
-    at = [i for i, c in enumerate(core) if c and box in chain(p.lines[i][3])]
-    if not at:
         return ""
-    lo, hi = at[0], at[-1]
-    return "\n\n".join(t for i, (t, _, k, b) in enumerate(p.lines) if box in chain(b) and (lo <= i <= hi or p.lines[i][3] == box) and (core[i] or k < 0.5 * len(t)))
+    weight = np.bincount(box, np.where(core, size - linked, 0.0), len(p.parent))
+    for b in range(len(p.parent) - 1, 0, -1):  # containers come after the ones they are in
+        weight[p.parent[b]] += weight[b]
+    region = 0
+    for b in range(1, len(p.parent)):
+        if p.parent[b] == region and weight[b] >= nearly * weight[0] > 0:
+            region = b
+    inside = np.zeros(len(p.parent), bool)
+    marked = np.zeros(len(p.parent), bool)  # the outermost article or main that holds much of the cluster
+    above = np.zeros(len(p.parent), bool)
+    best = max((weight[b] for b in range(len(p.parent)) if p.named[b] in ("article", "main")), default=0.0)
+    for b in range(len(p.parent)):
+        up = p.parent[b]
+        inside[b] = b == region or (up >= 0 and inside[up])
+        above[b] = up >= 0 and (above[up] or marked[up])
+        marked[b] = not above[b] and p.named[b] in ("article", "main") and weight[b] >= max(0.5 * best, much * weight[0], 1e-9)
+    if marked.any():
+        kept = (marked | above)[box] & clear
+    else:
+        at = np.flatnonzero(core & inside[box])
+        place = np.arange(len(box))
+        joined = (place >= at[0]) & (place <= at[-1])
+        if p.named[region] not in ("html", "body"):  # near the cluster and in its own container
+            near = round(3 * sigma)
+            joined |= (place >= at[0] - near) & (place <= at[-1] + near) & ((box == box[at[0]]) | (box == box[at[-1]]))
+        kept = inside[box] & clear & (core | (joined & (linked < 0.5 * size)))
+    return "\n\n".join(p.lines[i][0] for i in np.flatnonzero(kept))
 
 
 def page_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text and its length in code points of every row, from the whole html; null or empty html: empty text.
 
-    Ill-formed markup never fails: unclosed elements end with their container. One narrow pass, no shuffle.
+    Ill-formed or deeply nested markup never fails: unclosed elements end with their container, and no step recurses. Repeated
+    rows give repeated rows; other columns are ignored. One narrow pass, no shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
