@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 
 from tessella.plans.materialize import scratch, ship, width, written  # noqa: F401
 
-#: Rows that cross to Python at once; with long texts a batch stays in the tens of MB.
-ARROW_ROWS = 512
+#: Rows and bytes that cross to Python at once: a batch of long texts ends at whichever comes first, after one text at least.
+ARROW_ROWS, ARROW_BYTES = 512, 32 << 20
 #: Stands for a null key in sort order: before every other key.
 NULL_KEY = -(2**63)
 
@@ -22,6 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table, read with Arrow batches small enough for long texts, and the package shipped to the executors."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

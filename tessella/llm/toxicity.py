@@ -326,24 +326,24 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, f
 def toxicity_scores(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
     """All columns of ``docs`` and held_out, score, predicted, from each whole text; null text counts as empty.
 
-    Columns of those names in ``docs`` are replaced. One narrow pass, no shuffle.
+    Columns of those names in ``docs`` are replaced. A null doc_id is not held out. One narrow pass, no shuffle.
     """
     base = docs.drop("held_out", "score", "predicted")
-    kind = "held_out boolean, score double, predicted int"
 
-    @F.pandas_udf(kind)
-    def scored(ids, items):
+    @F.pandas_udf("double")
+    def scored(items):
         import pandas as pd
 
-        s = model.score([t or "" for t in items])
-        return pd.DataFrame({"held_out": [held_out(None if d != d else int(d)) for d in ids], "score": s, "predicted": (s >= threshold).astype("int32")})
+        return pd.Series(model.score([t or "" for t in items]), dtype="float64")
 
     scored = scored.asNondeterministic()  # else a filter on the score would run it again beside the projection
-    return base.select("*", scored(F.col("doc_id"), F.coalesce("text", F.lit(""))).alias("_s")).select("*", "_s.held_out", "_s.score", "_s.predicted").drop("_s")
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
+    out = base.select("*", held.alias("held_out"), scored(F.coalesce("text", F.lit(""))).alias("score"))
+    return out.select("*", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def score_rows(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted only: the texts don't come back from Python."""
+    """doc_id, held_out (false for a null id), score, predicted only: the texts don't come back from Python."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, ts in texts(batches, "doc_id", "text"):

@@ -109,6 +109,29 @@ def test_pieces_equal_the_library(docs, hard, empty):
     assert all(m.decode(m.encode_text(t or "")) == sp.decode(sp.encode(t or "")) for t in HARD)
 
 
+def test_long_runs_and_long_parts_equal_the_library():
+    import time
+
+    import sentencepiece
+
+    m = piece_automaton.model(piece_automaton.model_path())
+    sp = sentencepiece.SentencePieceProcessor(model_file=piece_automaton.model_path())
+    rng = random.Random(1)
+    for n in (63, 64, 65, 79, 80, 81, 1000, 5003):
+        for t in (" " * n, " " * n + "word", "a" + " " * n + "日本", "word" + " " * n, "\n".join([" " * n] * 2)):
+            assert np.frombuffer(m.encode_text(t), "<u4").tolist() == sp.encode(t)
+    for _ in range(60):
+        t = "".join(rng.choice([" ", "  ", "a", "the", "in", " " * 40]) for _ in range(rng.randint(10, 300)))
+        assert np.frombuffer(m.encode_text(t), "<u4").tolist() == sp.encode(t)
+    for _ in range(60):  # the heap against the scan
+        t = "".join(rng.choice("▁▁▁aetins") for _ in range(rng.randint(2, 64)))
+        assert m.merge(t) == m._merge_long(list(t))
+    began = time.time()
+    for t in (" " * 1_000_000 + "end", "  " + "日本語" * 100_000):
+        assert np.frombuffer(m.encode_text(t), "<u4").tolist() == sp.encode(t)
+    assert time.time() - began < 20
+
+
 def test_unigram_scores_are_the_best(spark):
     rng = random.Random(5)
     listed = [("<unk>", 0.0, 2)] + [(p, -rng.random() * 5 - 1, 1) for p in ("▁", "a", "b", "ab", "ba", "aba", "▁a", "▁ab", "bb")]
@@ -160,6 +183,14 @@ def test_long_texts_are_hashed_in_steps(monkeypatch):
     assert multiset_hash.fingerprint(t) == whole
 
 
+def test_counts_of_long_repetitive_texts_dont_wrap():
+    h = multiset_hash
+    for a, b in (("a" * 32774, "a" * 32775), ("word " * 32770, "word " * 32760), ("word " * 200_000, "word " * 200_001)):
+        assert h.likeness(h.fingerprint(a), h.fingerprint(b)) > 0.99
+    x, y = h.fingerprint("word " * 40_000), h.fingerprint("other line")
+    assert h.combine(h.combine(x, y), y, -1) == x
+
+
 def brute_simhash(text, size):
     import re
 
@@ -400,6 +431,33 @@ def test_articles(body):
     assert main_text.main_text(page(body.format(inner))) == wanted
 
 
+LONG = [f"Paragraph {i} of the story tells at some length what came before and after it, in words that no menu would have." for i in range(4)]
+
+
+@pytest.mark.parametrize(
+    "body",
+    [  # no semantic tags, no telling names: the ratios decide
+        "<div><div><a href=/a>Home</a> <a href=/b>News</a> <a href=/c>Sport</a></div><div>Today only: ten per cent off</div><div>{}</div><div><a href=/i>Imprint</a> <a href=/t>Terms</a><br>One line of rights</div></div>",
+        "<div><ul><li><a>One</a><li><a>Two</a><li><a>Three</a></ul></div><div><div><div>{}</div></div></div><div><p>Small print</p></div>",
+        "<table><tr><td><a>Home</a><br><a>Away</a></td></tr></table><div>{}</div><div><b>Read</b> <b>more</b> <i>here</i></div><table><tr><td>Rights <a>x</a></td></tr></table>",
+    ],
+)
+def test_ratios_decide_without_telling_tags(body):
+    inner = "<h2>The story</h2>" + "".join(f"<p>{p}</p>" for p in LONG)
+    html = page(body.format(inner))
+    assert main_text.main_text(html) == "\n\n".join(["The story", *LONG])
+    assert main_text.main_text(html, share=0.0, nearly=1.0) != main_text.main_text(html)  # without a threshold more stays
+    # names that would tell against the long block are believed, and what is left is clustered anew
+    assert all(p not in main_text.main_text(page(f"<div class=comments>{inner}</div><div><p>{ARTICLE[0]}</p></div>")) for p in LONG)
+
+
+def test_deep_nesting(spark):
+    deep = "<div>" * 100_000 + "<p>A paragraph far down.</p>" + "</section>" * 1000 + "</div>" * 100_000
+    assert main_text.main_text(deep) == "A paragraph far down."
+    rows = spark.createDataFrame([(1, "u", deep), (1, "u", deep), (2, "u", "<b>" * 5000 + "x")], "page_id long, url string, html string")
+    assert sorted((r.page_id, r.text) for r in main_text.page_texts(rows).collect()) == [(1, "A paragraph far down.")] * 2 + [(2, "x")]
+
+
 def test_page_tables(spark, sf):
     p = table(spark, sf, "pages")
     out = main_text.page_texts(p).collect()
@@ -438,6 +496,15 @@ def test_toxicity_on_held_out_rows(spark, hard, empty):
     assert toxicity.score_rows(docs.limit(3), none).count() == 3
 
 
+def test_a_null_id_leaves_others_held_out(spark):
+    model = toxicity.ToxicityModel().fit({}, np.zeros((0, len(toxicity.NAMES))), np.zeros(0))
+    ids = [None, *range(2**53 - 3, 2**53 + 9), 0, -4]
+    df = spark.createDataFrame([(i, "some text", 9.0) for i in ids], "doc_id long, text string, score double").coalesce(1)
+    wanted = {i: zlib.crc32(str("" if i is None else i).encode()) % 3 == 1 for i in ids}
+    assert {r.doc_id: r.held_out for r in toxicity.toxicity_scores(df, model).collect()} == wanted
+    assert {r.doc_id: r.held_out for r in toxicity.score_rows(df, model).collect()} == wanted and not wanted[None]
+
+
 def test_the_fit_reads_whole_texts(spark):
     rng = random.Random(3)
     vocab = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
