@@ -321,25 +321,27 @@ def test_classes_equal_brute_force_without_common_pieces(spark, monkeypatch):
 
 
 def brute_lines(rows, least):
-    """A line goes if a stretch of at least ``least`` words around it has an earlier place."""
+    """Lines of any later copy of a common run: runs grow line by line from every pair of equal lines, without windows.
+
+    In one text the copy ends where it would meet the first place.
+    """
     seqs = []
     for d, t in rows:
-        lines = [(i, " ".join(x.split())) for i, x in enumerate(t.split("\n")) if x.split()]
+        lines = [" ".join(x.split()) for x in t.split("\n") if x.split()]
         seqs.append(((-(2**63) if d is None else d, winnow.signed(xxhash.xxh3_64_intdigest(t))), lines))
-    first = {}
-    spans = []
-    for s, (key, lines) in enumerate(seqs):
-        for i in range(len(lines)):
-            for j in range(i, len(lines)):
-                if sum(len(x.split()) for _, x in lines[i : j + 1]) >= least:
-                    c = tuple(x for _, x in lines[i : j + 1])
-                    spans.append((s, i, j, c))
-                    first[c] = min(first.get(c, ((2**63, 0), 0)), (key, i))
     gone = {}
-    for s, i, j, c in spans:
-        if (seqs[s][0], i) > first[c]:
-            gone.setdefault(s, set()).update(range(i, j + 1))
-    return [len(gone.get(s, ())) for s in range(len(seqs))]
+    for s, (late, x) in enumerate(seqs):
+        for early, y in seqs:
+            if early > late:
+                continue
+            for i in range(len(x)):
+                for j in range(len(y) if early < late else i):
+                    n = 0
+                    while i + n < len(x) and j + n < len(y) and x[i + n] == y[j + n] and (early < late or j + n < i):
+                        n += 1
+                    if sum(len(z.split()) for z in x[i : i + n]) >= least:
+                        gone.setdefault(s, set()).update(range(i, i + n))
+    return [sorted(gone.get(s, ())) for s in range(len(seqs))]
 
 
 def test_winnowing_equals_brute_force(spark, docs, hard, empty):
@@ -347,9 +349,11 @@ def test_winnowing_equals_brute_force(spark, docs, hard, empty):
     pool = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(14)]
     rows = [(i if i else None, "\n".join([rng.choice([*pool, "", f"own {i} {k}"]) for k in range(rng.randint(0, 14))])) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    wanted = sorted(((d or -1), n) for (d, _), n in zip(rows, brute_lines(rows, 12), strict=True))
-    found = sorted((r.doc_id or -1, r.removed_lines) for r in winnow.delete_repeated_lines(df, 12).collect())
-    assert found == wanted and sum(n for _, n in wanted) > 20
+    gone = brute_lines(rows, 12)
+    kept = [[x for i, x in enumerate([x for x in t.split("\n") if x.split()]) if i not in set(g)] for (_, t), g in zip(rows, gone, strict=True)]
+    wanted = sorted(((d or -1), len(g), k) for (d, _), g, k in zip(rows, gone, kept, strict=True))
+    found = sorted((r.doc_id or -1, r.removed_lines, [x for x in r.text.split("\n") if x.split()]) for r in winnow.delete_repeated_lines(df, 12).collect())
+    assert found == wanted and sum(n for _, n, _ in wanted) > 20
     base = {d: t for d, t in texts_of(docs)}
     out = winnow.delete_repeated_lines(docs).collect()
     assert len(out) == len(base) and all(r.text == base[r.doc_id] for r in out if not r.removed_lines)
@@ -358,6 +362,40 @@ def test_winnowing_equals_brute_force(spark, docs, hard, empty):
     assert winnow.delete_repeated_lines(hard).columns[:6] == hard.columns
 
 
+def test_runs_that_overlap_themselves(spark):
+    equal = "\n".join(["one"] * 40)
+    rows = [(1, equal), (2, "\n".join(["a b", "c"] * 9)), (3, "\n".join(["x"] * 7)), (4, "\n".join(["y"] * 10))]
+    out = {r.doc_id: (r.text, r.removed_lines) for r in winnow.delete_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()}
+    assert out[1] == ("\n".join(["one"] * 5), 35) and out[3] == (rows[2][1], 0) and out[4] == ("\n".join(["y"] * 5), 5)
+    for (d, t), g in zip(rows, brute_lines(rows, 5), strict=True):
+        assert out[d] == ("\n".join(x for i, x in enumerate(t.split("\n")) if i not in g), len(g))
+
+
+def test_only_selected_positions_leave_the_texts(docs):
+    rows = winnow.selected_rows(docs, 50)
+    wanted = {}
+    for d, t in texts_of(docs):
+        lines = [" ".join(x.split()) for x in t.split("\n") if x.split()]
+        hs, ws = [xxhash.xxh3_64_intdigest(x) for x in lines], [len(x.split()) for x in lines]
+        for i in range(len(hs)):  # every window selects one of these
+            j = next((j for j in range(i, len(hs)) if sum(ws[i : j + 1]) >= 50), None)
+            if j is not None:
+                wanted.setdefault(d, set()).add(max(p for p in range(i, j + 1) if hs[p] == min(hs[i : j + 1])))
+    found = {}
+    for r in rows.collect():
+        found.setdefault(r["_doc"], []).append(r["at"])
+        assert len(r["lines"]) == len(r["sizes"]) and r["lines"][r["at"] - r["lo"]] == r["print"]
+    assert all(len(v) == len(set(v)) and wanted.get(d, set()) <= set(v) for d, v in found.items()) and wanted.keys() <= found.keys()
+
+
+def test_clashing_names_and_one_very_long_text(spark):
+    long = "\n".join(f"line {i % 5000} of a very long text with words" for i in range(200_000))
+    df = spark.createDataFrame([(1, long, 1, 2, 3), (2, long, 1, 2, 3), (None, None, None, 2, 3)], "doc_id long, text string, _ver int, _spans int, row int")
+    out = {r.doc_id: r for r in winnow.delete_repeated_lines(df).collect()}
+    assert out[1].removed_lines == 195_000 and out[2].text == "" and out[None].text is None
+    assert (out[2]["_ver"], out[2]["_spans"], out[2]["row"]) == (1, 2, 3)
+
+
 def test_hot_passages_keep_one_place(spark, monkeypatch):
     monkeypatch.setattr(winnow, "SHARE", 10)
     monkeypatch.setattr(winnow, "MOST_HOT", 1)
