@@ -569,6 +569,57 @@ def test_isotonic_and_trees():
     assert ((p > 0) == (t > 0)).mean() > 0.95
 
 
+def coordinate_descent(p, t, want, have, floor, sweeps=1500):
+    """Nonnegative least squares one rate at a time, each set to its own minimum: another way to the objective's least value."""
+    r = np.full(len(p), max(1.0, floor))
+    w = np.where(want > 0, 1 / have, 0)
+    got = (r * t) @ p
+    for _ in range(sweeps):
+        for i in range(len(p)):
+            g, h = t[i] * (w * (got - want) * p[i]).sum(), t[i] ** 2 * (w * p[i] ** 2).sum()
+            new = max(floor, r[i] - g / h)
+            got += (new - r[i]) * t[i] * p[i]
+            r[i] = new
+    return 0.5 * (w * (got - want) ** 2).sum()
+
+
+def test_rates_are_least_squares(spark):
+    rng = np.random.default_rng(4)
+    p = rng.dirichlet([0.4, 0.3, 0.2], 40)
+    t = rng.integers(1, 500, 40)
+    rows = spark.createDataFrame([(int(n), x.tolist()) for n, x in zip(t, p, strict=True)], "tokens long, p array<double>").coalesce(1)
+    have = t @ p
+    for targets, floor, budget in (([0.2, 0.5, 0.3], 0.0, None), ([0.1, 0.3, 0.6], 0.0, None), ([0.05, 0.05, 0.9], 0.8, have.sum()), ([1.0, 0.0, 0.0], 1.0, 0.5 * have[0])):
+        rates, report = mixing.fit_rates(rows, np.array(targets), budget, floor, rounds=90, tolerance=1e-6)
+        want = np.array(targets) * (budget or have.sum())
+        r = rates.of(p)
+        got = (r * t) @ p
+        aimed = want > 0
+        worth = 0.5 * ((got - want)[aimed] ** 2 / have[aimed]).sum()
+        least = coordinate_descent(p, t.astype("f8"), want, have, floor)
+        assert (r >= floor).all() and worth <= least * 1.02 + 1e-6 * have.sum()
+        assert report["miss"] == pytest.approx(np.abs((got - want)[aimed] / want[aimed]).max(), rel=1e-6) and report["met"] == (report["miss"] <= 1e-6)
+
+
+def test_missed_targets_are_said(spark, docs, sf):
+    labels = table(spark, sf, "labels")
+    with pytest.warns(UserWarning, match="targets missed"):
+        out = mixing.mix(docs, labels, {"clean": 0.99, "low": 0.005, "toxic": 0.005}, floor=0.9, budget=1000.0)
+    assert out.first().target_miss > 1
+    with pytest.raises(ValueError, match="targets missed"):
+        mixing.mix(docs, labels, {"clean": 1.0}, floor=0.9, budget=10.0, strict=True)
+
+
+def test_domains_on_held_out_rows(spark):
+    big = "/root/testdata/sf0.01"
+    docs, labels = table(spark, big, "documents"), table(spark, big, "labels")
+    model = mixing.fit_domains(docs, labels.where("doc_id % 3 <> 1"))
+    said = {r.doc_id: int(np.argmax(r.p)) for r in mixing.posteriors(docs, model).collect()}
+    held = [(mixing.domain_label(r.quality, r.toxic), said[r.doc_id]) for r in labels.where("doc_id % 3 = 1").collect()]
+    assert np.mean([a == b for a, b in held]) >= 0.9
+    assert np.mean([b == 2 for a, b in held if a == 2]) >= 0.6
+
+
 def test_mixture_meets_its_targets(spark, docs, hard, empty, sf):
     labels = table(spark, sf, "labels")
     model = mixing.fit_domains(docs, labels)
@@ -584,7 +635,9 @@ def test_mixture_meets_its_targets(spark, docs, hard, empty, sf):
         want = np.array(targets) / sum(targets) * sum(report["wanted"])
         assert np.allclose(got[aimed], want[aimed], rtol=0.02) or floor > 0
         assert (rates.of(p) >= floor - 1e-12).all()
-    once = mixing.repeat_rows(docs, labels, {"clean": 0.9, "low": 0.1})
+    once = mixing.repeat_rows(docs.withColumn("row", docs.doc_id).withColumn("copies", docs.doc_id), labels, {"clean": 0.9, "low": 0.1})
+    assert once.columns == [*docs.columns, "row", "copies"] and once.where("row <> doc_id or copies <> doc_id").count() == 0
+    once = once.select(docs.columns)
     assert {r.doc_id for r in once.select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()} and once.columns == docs.columns
     assert mixing.mix(hard, labels, {"clean": 1.0}, model=model).count() == hard.count()
     assert mixing.mix(empty, labels, {"clean": 1.0}, model=model).count() == 0
