@@ -2,11 +2,12 @@
 
 A fingerprint has a bit set where over half of the shingle hashes have it. Fingerprints are first reduced to distinct ones.
 Two of 64 bits that differ in at most r bits agree on all but r of m blocks, so each enters the shards named by its m-r
-agreeing blocks; no pair is lost. A shard's BK-tree keys the children of a node by their Hamming distance to it, and a search
-follows only the edges within the radius of its own distance. Trees are built where their shard's rows are: broadcasting them
-would send data that grows with the corpus. A shard above ``SHARD`` rows is split into blocks, each a tree of bounded size that
-all rows of the shard search. In a task found neighbours are united at once and only links to the group's first member leave
-it, so a dense group gives rows in proportion to its size. Components are found from those links.
+agreeing blocks; no pair is lost, and crowded shards are keyed again by finer blocks. A shard's BK-tree keys the children of a
+node by their Hamming distance to it, and a search follows only the edges within the radius of its own distance. Trees are built
+where their shard's rows are: to broadcast them, the fingerprints of all documents would have to pass through the driver. A shard
+still above ``SHARD`` rows is cut into blocks, each a tree of bounded size past which the rows of later blocks stream. Found
+neighbours are united in the task and only links to the group's first member leave it, so a dense group gives rows in
+proportion to its size. Components are found from those links.
 
 Word-shingle near duplicates at a similarity (``similar_documents``) need a far wider radius than blocks of 64 bits allow, so
 there fingerprints have 512 bits, and shards are single shingles: of a set of n, the first n - ceil(s n) + 1 in one order of all
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -34,9 +35,10 @@ from .common import texts, width, written
 
 SEED = 42
 STEP = 255 * 256
+M64 = (1 << 64) - 1
 ONES = np.uint64(0x0101010101010101)
-#: Rows of one tree; a larger shard becomes several trees, searched by all its rows.
-SHARD = 4_000
+#: Rows of one tree (a larger shard becomes several), and links a task holds before it hands them on.
+SHARD, LINKS = 4_000, 50_000
 #: About so many texts are sampled for common shingles, those in at least ``OFTEN`` of them; at most ``COMMON`` are sent to the tasks.
 SAMPLE, OFTEN, COMMON = 5_000, 3, 50_000
 MIXERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)
@@ -141,75 +143,88 @@ class BKTree:
                     wait += [edges[k] for k in range(d - radius, d + radius + 1) if k in edges]
 
 
-def star_links(members: list[tuple], radius: int, sure: int) -> Iterator[tuple]:
-    """(node, node, sure) links among the members; a member is (node, value, is in the tree).
+class Group:
+    """Links among the rows of one shard and block: a tree of the block's own rows, past which the others stream.
 
-    Members at most ``sure`` apart are united at once: each then has one link, to the first of its group. Pairs farther apart,
-    up to ``radius``, come out as they are, unless their groups are one already.
+    Rows at most ``sure`` apart are united at once: each has one link, to a member of its group. Pairs farther apart, up to
+    ``radius``, come out as they are, unless their groups are one by then. Only the tree and the groups of its rows are held.
     """
-    tree, parent = BKTree(), list(range(len(members)))
-    held: list[int] = []  # which member a tree node is
-    open_: list[tuple[int, int]] = []
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
+
+    def __init__(self, radius: int, sure: int) -> None:
+        self.radius, self.sure, self.tree = radius, sure, BKTree()
+        self.names: list = []  # of the tree's rows
+        self.parent: list[int] = []
+
+    def root(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
         return i
 
-    order = sorted(range(len(members)), key=lambda i: (not members[i][2], members[i][0]))
-    for i in order:
-        value = members[i][1]
-        for at, d in tree.within(value, radius):
-            if d > sure:
-                open_.append((held[at], i))
-                continue
-            a, b = root(held[at]), root(i)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-        if members[i][2]:
-            at = tree.add(value)
-            if at == len(held):
-                held.append(i)
-    for i in range(len(members)):
-        if (r := root(i)) != i:
-            yield members[i][0], members[r][0], True
-    for a, b in open_:
-        if root(a) != root(b):
-            x, y = sorted((members[a][0], members[b][0]))
-            yield x, y, False
+    def meet(self, name: int | bytes, value: int, kept: bool) -> Iterator[tuple]:
+        """(node, node, sure) links of a row to the tree, which it joins if it is the block's own."""
+        near, open_ = [], []
+        for at, d in self.tree.within(value, self.radius):
+            (near if d <= self.sure else open_).append(at)
+        roots = sorted({self.root(at) for at in near})
+        for r in roots[1:]:
+            self.parent[r] = roots[0]
+        if roots:
+            yield name, self.names[roots[0]], True
+        for at in open_:
+            if not roots or self.root(at) != roots[0]:
+                yield *sorted((self.names[at], name)), False
+        if kept and self.tree.add(value) == len(self.names):
+            self.names.append(name)
+            self.parent.append(roots[0] if roots else len(self.parent))
+
+    def united(self) -> Iterator[tuple]:
+        """Links between tree rows whose groups later rows have joined."""
+        for i in range(len(self.names)):
+            if (r := self.root(i)) != i:
+                yield self.names[i], self.names[r], True
 
 
 def shard_links(shards: DataFrame, radius: int, node: str, sure: int | None = None) -> DataFrame:
     """Links a, b (type ``node``) and whether they are sure, among the rows (key, node, value) of each shard.
 
-    ``value`` is binary; ``sure`` is the radius that needs no other test (None: all of it).
+    ``value`` is binary, a node has one value; ``sure`` is the radius that needs no other test (None: all of it). A shard above
+    ``SHARD`` rows is cut into blocks; each block's tree is met by its own rows and those of later blocks, so no pair is looked at twice and
+    no task holds more than one block.
     """
     sure = radius if sure is None else sure
     n = F.ceil(F.col("n") / SHARD).cast("int")
     many = shards.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", n.alias("blocks"))
-    held = shards.join(many, "key")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rows = held.withColumn("own", own).select("key", "node", "value", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).select("key", "block", "node", "value", (F.col("own") == F.col("block")).alias("kept"))
-    placed = rows.repartition(width(shards.sparkSession), "key", "block").sortWithinPartitions("key", "block", "node")
+    held = shards.join(many, "key").select("key", "node", "value", own.alias("own"))
+    rows = held.select("key", "node", "value", "own", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("block")).select("key", "block", (F.col("own") > F.col("block")).alias("guest"), "node", "value")
+    placed = rows.repartition(width(shards.sparkSession), "key", "block").sortWithinPartitions("key", "block", "guest", "node")
     kind = pa.int64() if node == "long" else pa.binary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, members = None, []
+        now = group = None
+        out: list[tuple] = []
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            if len(members) > 1 and (out := list(star_links(members, radius, sure))):
-                a, b, c = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind), pa.array(c, pa.bool_())], ["a", "b", "sure"])
+        def packed() -> pa.RecordBatch:
+            a, b, c = zip(*out, strict=True)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind), pa.array(c, pa.bool_())], ["a", "b", "sure"])
 
         for b in batches:
             cols = [b.column(i).to_pylist() for i in range(5)]
-            for key, block, x, value, kept in zip(*cols, strict=True):
+            for key, block, guest, x, value in zip(*cols, strict=True):
                 if (key, block) != now:
-                    yield from flush()
-                    now, members = (key, block), []
-                members.append((x, int.from_bytes(value, "little"), kept))
-        yield from flush()
+                    if group:
+                        out += group.united()
+                    now, group = (key, block), Group(radius, sure)
+                for link in group.meet(x, int.from_bytes(value, "little"), not guest):
+                    out.append(link)
+                    if len(out) >= LINKS:
+                        yield packed()
+        if group:
+            out += group.united()
+        if out:
+            yield packed()
 
     return placed.mapInArrow(run, f"a {node}, b {node}, sure boolean")
 
@@ -229,15 +244,44 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
 
 
 def near_fingerprints(fps: DataFrame, radius: int = 2, blocks: int = 4) -> DataFrame:
-    """Links a, b between distinct 64-bit values (column fp) at most ``radius`` bits apart, enough to connect them all."""
+    """Links a, b between distinct 64-bit values (column fp) at most ``radius`` bits apart, enough to connect them all.
+
+    Values that differ in at most ``radius`` bits agree on some of the blocks. A shard above ``SHARD`` rows is keyed again, by
+    radius + 1 pieces of the bits its values don't yet agree on, of which two such values agree on one; and so on until shards are small or
+    have no such bits left. So a crowded shard grows a few rows by each, not by as many as it has blocks.
+    """
     if not 0 <= radius < blocks:
         raise ValueError("the radius must be below the number of blocks")
     bits = [64 * i // blocks for i in range(blocks + 1)]
     masks = [sum(((1 << bits[i + 1]) - 1) ^ ((1 << bits[i]) - 1) for i in kept) for kept in combinations(range(blocks), blocks - radius)]
-    keys = F.array(*(F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")).alias("bits")) for i, m in enumerate(masks)))
-    shards = fps.select(F.explode(keys).alias("key"), F.col("fp").alias("node"), F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("be"))
+    shards = keyed(fps, masks)
+    settled = []
+    while True:
+        crowded = shards.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SHARD).select("key")
+        finer = {m: [m | piece for piece in pieces(~m & M64, radius + 1)] for m in masks if m != M64}
+        if not finer or not crowded.take(1):
+            break
+        crowded = written(crowded, "crowded")
+        settled.append(shards.join(crowded, "key", "left_anti"))
+        again = shards.join(crowded, "key", "left_semi")
+        parts = [keyed(again.where(F.col("key.mask") == F.lit(signed(m))).select("fp"), ms) for m, ms in finer.items()]
+        masks = sorted({m for ms in finer.values() for m in ms})
+        shards = written(reduce(DataFrame.union, parts).distinct(), "finer")
+    everything = reduce(DataFrame.union, [*settled, shards])
     # hex is big-endian; distances don't depend on the byte order
-    return shard_links(shards.select("key", "node", F.col("be").alias("value")), radius, "long")
+    return shard_links(everything.select("key", F.col("fp").alias("node"), F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("value")), radius, "long")
+
+
+def pieces(mask: int, n: int) -> list[int]:
+    """The set bits of a mask in ``n`` parts, as even as they get."""
+    at = [i for i in range(64) if mask >> i & 1]
+    return [sum(1 << i for i in at[len(at) * k // n : len(at) * (k + 1) // n]) for k in range(n)]
+
+
+def keyed(fps: DataFrame, masks: list[int]) -> DataFrame:
+    """key (mask, bits under it) and fp, once a mask."""
+    keys = F.array(*(F.struct(F.lit(signed(m)).cast("long").alias("mask"), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")).alias("bits")) for m in masks))
+    return fps.select(F.explode(keys).alias("key"), "fp")
 
 
 def simhash_components(docs: DataFrame, radius: int = 2, size: int = 3) -> DataFrame:
@@ -381,10 +425,11 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, size: int = 5) -
 def keep_one_of_each(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFrame:
     """The rows of ``docs`` that are their class's first document, one row each, with the same columns.
 
-    Of repeated rows (same doc_id and text) one stays. Texts travel in one shuffle, keyed by their hash and id.
+    Of repeated rows (same doc_id and text) one stays. Columns may have any names. Texts travel in one shuffle, keyed by their
+    hash and id.
     """
     found = written(similar_documents(docs, similarity, size), "classes")
     keep = found.where("version = class_version and doc_id <=> class_id").select(F.col("version").alias("_v"), F.col("doc_id").alias("_d")).distinct()
-    own = docs.withColumn("_version", version_column()("text"))
-    kept = own.join(keep, (F.col("_version") == F.col("_v")) & F.col("doc_id").eqNullSafe(F.col("_d"))).dropDuplicates(["_version", "doc_id"])
-    return kept.select(*docs.columns)
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), version_column()("text").alias("version"), F.col("doc_id").alias("id"))
+    kept = own.join(keep, (F.col("version") == F.col("_v")) & F.col("id").eqNullSafe(F.col("_d"))).dropDuplicates(["version", "id"])
+    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))

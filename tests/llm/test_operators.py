@@ -245,6 +245,56 @@ def test_dense_neighbourhoods_and_split_shards(spark, monkeypatch):
         assert sorted(map(sorted, groups.values())) == sorted(map(sorted, mine.values()))
 
 
+def test_a_crowded_shard(spark, monkeypatch):
+    """Values alike in their upper half: keyed anew until shards are small, with no task above the bound."""
+    rng = random.Random(11)
+    values = {rng.getrandbits(18) << 5 | 7 << 40 for _ in range(6000)}
+    monkeypatch.setattr(simhash, "SHARD", 150)
+    fps = spark.createDataFrame([(simhash.signed(v),) for v in values], "fp long")
+    held = []
+    links = simhash.shard_links
+
+    def seen(shards, *rest):
+        held.append(shards.groupBy("key").count().agg({"count": "max", "*": "count"}).first()[0])
+        held.append(shards.count())
+        return links(shards, *rest)
+
+    monkeypatch.setattr(simhash, "shard_links", seen)
+    got = {r.node: r.component for r in simhash.connected_components(simhash.near_fingerprints(fps)).collect()}
+    comp = {v: v for v in values}
+    root = lambda v: v if comp[v] == v else root(comp[v])
+    flips = [1 << i for i in range(23)] + [1 << i | 1 << j for i in range(23) for j in range(i)]
+    for v in values:
+        for f in flips:
+            if v ^ f in comp and (a := root(v)) != (b := root(v ^ f)):
+                comp[max(a, b)] = min(a, b)
+    groups, mine = {}, {}
+    for v in values:
+        groups.setdefault(root(v), set()).add(v)
+        mine.setdefault(got.get(simhash.signed(v), simhash.signed(v)), set()).add(v)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, mine.values())) and len(groups) > 1
+    assert held[1] < 60 * len(values)
+
+
+def test_a_shard_is_never_held_whole(spark, monkeypatch):
+    """20,000 rows of one shard: trees stay at the bound, the rest streams past, and links grow with rows."""
+    monkeypatch.setattr(simhash, "SHARD", 4000)
+    rng = random.Random(12)
+    centre = [rng.getrandbits(512) for _ in range(40)]
+    rows = []
+    for i in range(20_000):
+        v = centre[i % 40]
+        for _ in range(rng.randrange(4)):
+            v ^= 1 << rng.randrange(512)
+        rows.append((1, i.to_bytes(4, "big"), v.to_bytes(64, "little")))
+    df = spark.createDataFrame(rows, "key long, node binary, value binary").repartition(4)
+    links = simhash.shard_links(df, 60, "binary", 30)
+    found = simhash.written(links, "t")
+    assert found.count() < 8 * len(rows) and found.where("not sure").count() == 0
+    sizes = [r["n"] for r in simhash.connected_components(found.select("a", "b")).groupBy("component").agg(simhash.F.count("*").alias("n")).collect()]
+    assert sizes == [500] * 40
+
+
 def test_near_copies_go_and_others_stay(spark):
     rng = random.Random(4)
     vocab = [f"w{i}" for i in range(3000)]
