@@ -2,17 +2,24 @@
 
 Build: equal vectors are first folded into one (with their six smallest ids: more can't be among five neighbours), so a group
 of copies is one entry. Centroids come from balanced two-means on a bounded sample (``SAMPLE`` rows by hash of the id): lists
-are split into equal halves until there are as many as wanted, so no list is much larger than another. A graph links each centroid to its nearest ones, and both assignment and search walk
-it best-first with a beam, in memory. A vector joins its nearest list and, as a boundary vector, further lists whose centroid is
-nearly as close, unless a chosen centroid is closer to that centroid than the vector is (relative neighbourhood rule).
-Search: a query takes the lists whose centroid distance is within a ratio of the nearest one's. Lists are shuffled by id; a
-list above ``LIST_ROWS`` is cut into shares, to each of which its queries go. Scores are cosines in double precision.
+are split into equal halves until there are as many as wanted, so no list is much larger than another. A graph links each
+centroid to its nearest ones, and both assignment and search walk it best-first with a beam, in memory. A vector joins its nearest
+list and, as a boundary vector, further lists whose centroid is nearly as close, unless a chosen centroid is closer to that
+centroid than the vector is (relative neighbourhood rule).
+
+Search: a query takes its nearest lists up to a beam, those whose centroid distance is within a ratio of the nearest one's. Both
+are fitted on sampled rows that the centroids were made without: the beam holds the wanted share of their neighbours in the
+sample, the ratio nearly all of those. So data with structure are pruned to a few lists, and data without any take as many as they need.
+Many small lists prune better than a few large ones; so that a query isn't sent to each of them, neighbouring lists share a
+shard and a query travels once a shard, with the numbers of its lists. A list above ``SHARD_ROWS`` is cut into several shards,
+and queries meet a shard in blocks, so that no task holds more than two bounded blocks. Scores are cosines in double precision.
 
 Broadcast: centroids and graph, at most ``MAX_LISTS`` rows, whatever the table's size.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +30,10 @@ from pyspark.sql import functions as F
 
 from .common import width, written
 
-#: Bounds: rows sampled for the centroids, lists (and so broadcast rows), rows of a list that one task holds.
-SAMPLE, MAX_LISTS, LIST_ROWS = 24_000, 8_192, 20_000
+#: Bounds: rows sampled for the centroids, lists (and so broadcast rows), rows and queries that one task holds.
+SAMPLE, MAX_LISTS, SHARD_ROWS, QUERY_ROWS = 24_000, 8_192, 20_000, 20_000
+#: Sampled rows that fit ratio and beam (at most a fifth of the sample), the least beam, and the entries a query meets at least.
+ASKED, LEAST, LEAST_ROWS = 400, 16, 1_000
 
 
 class Centroids:
@@ -33,19 +42,18 @@ class Centroids:
     def __init__(self, sample: np.ndarray, lists: int, degree: int = 24, seed: int = 7) -> None:
         rng = np.random.default_rng(seed)
         x = sample.astype("f4")
-        groups = [np.arange(len(x))]
-        while len(groups) < lists:
-            groups.sort(key=len)
-            g = groups.pop()
-            if len(g) < 4:
-                groups.append(g)
-                break
-            groups += self.halves(x, g, rng)
+        # the largest group first; paths keep the tree's order, in which neighbouring lists are near each other
+        heap = [(-len(x), "", np.arange(len(x)))]
+        while len(heap) < lists and -heap[0][0] >= 4:
+            _, path, g = heapq.heappop(heap)
+            for side, h in enumerate(self.halves(x, g, rng)):
+                heapq.heappush(heap, (-len(h), f"{path}{side}", h))
+        groups = [g for _, _, g in sorted(heap, key=lambda h: h[1])]
         c = np.stack([x[g].mean(axis=0) for g in groups]) if len(x) else np.zeros((1, sample.shape[1] or 1), "f4")
         self.c = c.astype("f4")
-        d = self.square(self.c, self.c)
         k = min(degree, len(c) - 1)
-        near = np.argsort(d, axis=1, kind="stable")[:, 1 : k + 1] if k else np.zeros((len(c), 1), "i8")
+        # in blocks, so that no matrix of all pairs is held
+        near = np.concatenate([np.argsort(self.square(self.c[i : i + 512], self.c), axis=1, kind="stable")[:, 1 : k + 1] for i in range(0, len(c), 512)]) if k else np.zeros((len(c), 1), "i8")
         far = rng.integers(0, len(c), (len(c), min(4, len(c))))  # long links keep the graph connected in practice
         self.graph = np.concatenate([near, far], axis=1)
         self.entry = np.unique(np.linspace(0, len(c) - 1, min(16, len(c))).astype("i8"))
@@ -119,18 +127,38 @@ class Centroids:
         return out
 
     def lists_for(self, q: np.ndarray, ratio: float, beam: int, sizes: np.ndarray | None = None, least: int = 0) -> list[list[int]]:
-        """Distance-ratio pruning: the lists whose centroid is within ``ratio`` of the nearest one's distance.
+        """Distance-ratio pruning: of the nearest ``beam`` lists those whose centroid is within ``ratio`` of the nearest one's distance.
 
         With ``sizes`` farther lists are added until they hold ``least`` entries, so that no query goes short.
         """
-        ids, dist = self.search(q, beam)
-        keep = dist <= ratio**2 * dist[:, :1] + 1e-12
+        ids, dist = self.search(q, max(2 * beam, 48))  # the walk finds the nearest of a wider beam nearly always
+        keep = np.arange(ids.shape[1]) < beam
+        keep = keep & (dist <= ratio**2 * np.maximum(dist[:, :1], 1e-12) + 1e-12)
         if sizes is not None:
             held = sizes[ids]
             keep |= np.cumsum(held, axis=1) - held < least
         keep &= np.isfinite(dist)
         return [row[k].tolist() for row, k in zip(ids, keep, strict=True)]
 
+    def fitted(self, asked: np.ndarray, sample: np.ndarray, k: int, wanted: float, copies: int) -> tuple[float, int]:
+        """(ratio, beam) for rows that the centroids were made without: nearest lists up to ``beam`` hold a ``wanted`` share of their
+        neighbours in the sample, and all but one in a hundred of those are within ``ratio``."""
+        if not len(asked) or len(sample) <= k or len(self.c) < 2:
+            return 1e6, LEAST
+        need, far = [], []
+        for at in range(0, len(asked), 64):
+            q = asked[at : at + 64]
+            dist = self.square(q.astype("f4"), self.c)
+            ids = np.argsort(dist, axis=1, kind="stable")
+            dist, place = np.take_along_axis(dist, ids, axis=1), np.empty_like(ids)
+            np.put_along_axis(place, ids, np.broadcast_to(np.arange(ids.shape[1]), ids.shape), axis=1)
+            top = np.argpartition(-(q @ sample.T), k - 1, axis=1)[:, :k]
+            for i, lists in enumerate(self.assign(sample[top.ravel()], copies)):
+                first = min(place[i // k, j] for j in lists)
+                need.append(first)
+                far.append(float(np.sqrt(dist[i // k, first] / max(dist[i // k, 0], 1e-12))))
+        return float(np.quantile(far, 0.99)), max(LEAST, int(np.quantile(need, wanted)) + 1)
+
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """id and v (array<double>) of the rows that take part: a non-null id, and no null, empty or zero vector, no null or non-finite component."""
@@ -139,9 +167,13 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where(v.isNotNull() & F.col("id").isNotNull()).where(ok)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows by powers of two to a largest component of about 1: exact, and no square over- or underflows to nothing."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def unit(column: np.ndarray | list, dim: int) -> np.ndarray:
-    x = np.array(column, "f8").reshape(-1, dim)
-    x = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow in the squares
+    x = scaled(np.array(column, "f8").reshape(-1, dim))
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
@@ -152,16 +184,15 @@ def vectors_of(t: pa.Table | pa.RecordBatch, dim: int) -> np.ndarray:
     return np.asarray(c.flatten()).astype("f8").reshape(-1, dim)
 
 
-def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vec_col: str = "embedding", list_rows: int = 400, ratio: float = 1.6, share: float = 0.4, lists: int | None = None) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vec_col: str = "embedding", list_rows: int = 12, wanted: float = 0.97, copies: int = 2, lists: int | None = None, report: dict | None = None) -> DataFrame:
     """The ``k`` nearest found of each query row (id divisible by ``every``) among all other rows, by cosine.
 
     query_id, rank, vec_id, score; ties of score go to the smaller id. Rows of another length than the commonest (ties: the
     longest) take no part, as their cosine isn't defined; see ``usable`` for the others. A repeated id counts as one row a
-    distinct vector. No queries or no candidates: no rows.
+    distinct vector. Other columns are ignored. No queries or no candidates: no rows.
 
-    A query's beam covers a ``share`` of all lists, and the distance ratio prunes it. In data with structure few lists are within
-    the ratio; without any (random directions, where the nearest row is hardly nearer than the rest) all of the beam is, and
-    that is what a recall of 0.9 takes there.
+    ``list_rows`` is how many rows a list has while there are fewer than ``MAX_LISTS``; ``wanted`` the share of neighbours that
+    the fitted beam holds on the sample. ``report`` is filled with lists, ratio, beam and the share of entries scored a query.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vec_col)
@@ -175,73 +206,107 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_
     first = Window.partitionBy("v").orderBy("id")
     kept = rows.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)
     folded = written(kept.groupBy("v").agg(F.min("id").alias("key"), F.sort_array(F.collect_list("id")).alias("ids")), "vectors")
-    got = folded.orderBy(F.xxhash64("key"), "key").select("v").limit(SAMPLE).toPandas()
-    sample = unit(got["v"].tolist(), dim) if len(got) else np.zeros((0, dim))
-    n_lists = lists or int(min(MAX_LISTS, max(1, total // list_rows), max(1, len(sample) // 6)))
-    shared = spark.sparkContext.broadcast(Centroids(sample, n_lists))  # at most MAX_LISTS rows
+    sample = unit(vectors_of(folded.orderBy(F.xxhash64("key"), "key").select("v").limit(SAMPLE).toArrow(), dim), dim)
+    n_lists = lists or int(min(MAX_LISTS, max(1, total // list_rows), max(1, len(sample) // 5)))
+    aside = min(ASKED, len(sample) // 5)
+    index = Centroids(sample[aside:], n_lists)
+    ratio, beam = index.fitted(sample[:aside], sample[aside:], k, wanted, copies)
+    shared = spark.sparkContext.broadcast(index)  # at most MAX_LISTS rows
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x = unit(vectors_of(b, dim), dim)
-                at = shared.value.assign(x)
-                take = np.repeat(np.arange(b.num_rows), [len(a) for a in at])
-                t = b.take(pa.array(take))
+                at = shared.value.assign(unit(vectors_of(b, dim), dim), copies)
+                t = b.take(pa.array(np.repeat(np.arange(b.num_rows), [len(a) for a in at])))
                 yield pa.RecordBatch.from_arrays([pa.array([i for a in at for i in a], pa.int32()), t.column("key"), t.column("ids"), t.column("v")], ["list", "key", "ids", "v"])
 
+    posted = written(folded.select("key", "ids", "v").mapInArrow(post, "list int, key long, ids array<long>, v array<double>"), "postings")
+    counts = {r.list: r.n for r in posted.groupBy("list").agg(F.count("*").alias("n")).collect()}  # at most MAX_LISTS rows
+    held = np.array([counts.get(i, 0) for i in range(len(index.c))])
+    base, shares = shards_of(held, 2 * width(spark))
+    asking = rows.where(F.col("id") % every == 0)
+    blocks = -(-asking.count() // QUERY_ROWS) or 1
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                at = shared.value.lists_for(unit(vectors_of(b, dim), dim), ratio, max(48, int(share * n_lists)), held, 16 * (k + 1))
-                t = b.take(pa.array(np.repeat(np.arange(b.num_rows), [len(a) for a in at])))
-                yield pa.RecordBatch.from_arrays([pa.array([i for a in at for i in a], pa.int32()), t.column("id"), t.column("v")], ["list", "id", "v"])
-
-    posted = written(folded.select("key", "ids", "v").mapInArrow(post, "list int, key long, ids array<long>, v array<double>"), "postings")
-    counts = {r.list: r.n for r in posted.groupBy("list").agg(F.count("*").alias("n")).collect()}  # at most MAX_LISTS rows
-    held = np.array([counts.get(i, 0) for i in range(len(shared.value.c))])
-    asked = rows.where(F.col("id") % every == 0).mapInArrow(ask, "list int, id long, v array<double>")
-    shares = posted.groupBy("list").agg(F.ceil(F.count("*") / LIST_ROWS).cast("int").alias("shares"))  # at most MAX_LISTS rows
-    small = F.broadcast(shares)
-    entries = posted.join(small, "list").select("list", F.pmod(F.xxhash64("key"), F.col("shares")).cast("int").alias("share"), "key", "ids", "v")
-    # a query meets its lists a block at a time, so that neither side of a group is without a bound
-    queries = asked.join(small, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "id", "v")
+                at = shared.value.lists_for(unit(vectors_of(b, dim), dim), ratio, beam, held, LEAST_ROWS)
+                take, where, which = [], [], []
+                for i, chosen in enumerate(at):
+                    by: dict[int, list[int]] = {}
+                    for j in chosen:
+                        for s in range(base[j], base[j] + shares[j]):
+                            by.setdefault(s, []).append(j)
+                    take += [i] * len(by)
+                    where += by.keys()
+                    which += by.values()
+                t = b.take(pa.array(take, pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(which, pa.list_(pa.int32())), t.column("id"), t.column("v")], ["shard", "lists", "id", "v"])
+
+    if report is not None:
+        size = F.udf(lambda x: int(sum(held[j] for j in x if base[j] == base[x[0]] or shares[j] == 1)), "long")
+        work = asking.mapInArrow(ask, "shard int, lists array<int>, id long, v array<double>").where(F.array_min("lists") >= 0).agg(F.sum(size("lists")).alias("n")).first().n or 0
+        report |= {"lists": len(index.c), "ratio": ratio, "beam": beam, "shards": int(max(base + shares)), "share": work / max(1, asking.count() * folded.count())}
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    queries = asking.mapInArrow(ask, "shard int, lists array<int>, id long, v array<double>").select("shard", block.alias("block"), "lists", "id", "v")
+    place = F.broadcast(spark.createDataFrame([(i, int(b), int(s)) for i, (b, s) in enumerate(zip(base, shares, strict=True))], "list int, base int, shares int"))  # at most MAX_LISTS rows
+    shard = F.col("base") + F.pmod(F.xxhash64("key"), F.col("shares")).cast("int")
+    entries = posted.join(place, "list").select(shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "list", "key", "ids", "v")
 
     found = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if right.num_rows and left.num_rows:
-            x = vectors_of(right, dim)
+            right = right.sort_by("list")
+            x = scaled(vectors_of(right, dim))
             size = np.sqrt((x * x).sum(1))
             ids = right.column("ids").to_pylist()
-            m = min(len(x), 2 * k + 2)
-            asked_ids = left.column("id").to_pylist()
-            all_q = vectors_of(left, dim)
-            for at in range(0, len(all_q), 1024):
-                q = all_q[at : at + 1024]
-                norm = np.sqrt((q * q).sum(1))
-                s = (q @ x.T) / size / norm[:, None]
-                part = np.argpartition(-s, m - 1, axis=1)[:, :m]
-                least = np.take_along_axis(s, part, 1).min(axis=1) - 1e-12
-                tied = (s >= least[:, None]).sum(axis=1) > m  # rows whose last place is shared: all of it is looked at
-                exact = np.einsum("nmd,nd->nm", x[part], q) / (size[part] * norm[:, None])
-                for i, (p, e) in enumerate(zip(part.tolist(), exact.tolist(), strict=True)):
-                    if tied[i]:
-                        near = np.flatnonzero(s[i] >= least[i])
-                        p, e = near.tolist(), (np.einsum("md,d->m", x[near], q[i]) / (size[near] * norm[i])).tolist()
-                    own = asked_ids[at + i]
-                    best = sorted((-v, c) for v, j in zip(e, p, strict=True) for c in ids[j] if c != own)[:k]
-                    out += [(own, c, -v) for v, c in best]
+            lists_, starts, lengths = np.unique(right.column("list").to_numpy(), return_index=True, return_counts=True)
+            q = scaled(vectors_of(left, dim))
+            norm = np.sqrt((q * q).sum(1))
+            for i, (own, chosen) in enumerate(zip(left.column("id").to_pylist(), left.column("lists").to_pylist(), strict=True)):
+                at = np.isin(lists_, chosen, assume_unique=True)
+                n = lengths[at]
+                near = np.repeat(starts[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                if not len(near):
+                    continue
+                y = x[near]
+                s = (y @ q[i]) / size[near]
+                m = min(len(near), 2 * k + 2)
+                least = np.partition(s, len(s) - m)[len(s) - m] - 1e-12 * norm[i]
+                top = s >= least  # all that share the last place
+                near = near[top]
+                exact = np.einsum("md,d->m", y[top], q[i]) / (size[near] * norm[i])
+                best = sorted({(-v, c) for v, j in zip(exact.tolist(), near.tolist(), strict=True) for c in ids[j] if c != own})[:k]
+                out += [(own, c, -v) for v, c in best]
         cols = zip(*out, strict=True) if out else ([], [], [])
         return pa.table([pa.array(c, f.type) for c, f in zip(cols, found, strict=True)], schema=found)
 
-    pairs = queries.groupBy("list", "share").cogroup(entries.groupBy("list", "share")).applyInArrow(score, "query_id long, vec_id long, score double")
+    pairs = queries.groupBy("shard", "block").cogroup(entries.groupBy("shard", "block")).applyInArrow(score, "query_id long, vec_id long, score double")
     # a candidate may come from several lists; its score is the same in each
     once = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def shards_of(held: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First shard and number of shards of each list: lists in order fill shards up to a bound, at least about ``least`` of them; larger lists have their own."""
+    most = int(min(SHARD_ROWS, max(1, held.sum() // least)))
+    base, shares, at, used = np.zeros(len(held), "i8"), np.ones(len(held), "i8"), 0, 0
+    for i, n in enumerate(held.tolist()):
+        if n > SHARD_ROWS:
+            at += used > 0
+            base[i], shares[i], used = at, -(-n // SHARD_ROWS), 0
+            at += int(shares[i])
+            continue
+        if used and used + n > most:
+            at, used = at + 1, 0
+        base[i] = at
+        used += n
+    return base, shares
+
+
 def recall(found: DataFrame, vectors: DataFrame, k: int = 5, every: int = 50) -> float:
     """Share of the exact nearest ids that were found; exact ones by brute force on the driver (for tests and small tables)."""
     pdf: pd.DataFrame = usable(vectors, "vec_id", "embedding").toPandas()

@@ -488,10 +488,41 @@ def test_far_queries_still_get_five(spark):
     assert len(found) == 13 and all(r["count"] == 5 for r in found)
 
 
-def test_large_lists_are_cut_into_shares(spark, sf, monkeypatch):
-    monkeypatch.setattr(postings, "LIST_ROWS", 20)
+def test_large_lists_are_cut_and_queries_come_in_blocks(spark, sf, monkeypatch):
     v = table(spark, sf, "embeddings")
-    assert postings.recall(postings.nearest(v), v) >= 0.95
+    wanted = sorted(map(tuple, postings.nearest(v, lists=20).collect()))
+    monkeypatch.setattr(postings, "SHARD_ROWS", 20)
+    monkeypatch.setattr(postings, "QUERY_ROWS", 4)
+    assert sorted(map(tuple, postings.nearest(v, lists=20).collect())) == wanted
+
+
+@pytest.mark.parametrize("kind", ["clustered", "random"])
+def test_many_lists_are_pruned(spark, kind):
+    rng = np.random.default_rng(3)
+    if kind == "clustered":
+        x = rng.normal(size=(150, 32))[rng.integers(0, 150, 20_000)] + 0.25 * rng.normal(size=(20_000, 32))
+    else:
+        x = rng.normal(size=(20_000, 32))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    report = {}
+    found = postings.written(postings.nearest(df, report=report), "t")
+    assert report["lists"] >= 200 and postings.recall(found, df) >= 0.9
+    assert report["share"] <= (0.1 if kind == "clustered" else 0.45)
+
+
+def test_extreme_components(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.normal(size=6) * 10.0 ** (300 if i % 3 == 0 else -310 if i % 3 == 1 else 0)).tolist(), "x", 1) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, v string, list int")
+    x = {i: np.array([float(c) * 2.0**-990 if abs(c) > 1e100 else float(c) * 2.0**1000 if abs(c) < 1e-100 else c for c in v]) for i, v, *_ in rows}
+    got = {}
+    for r in postings.nearest(df).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert sorted(got) == [0, 50, 100]
+    for q, found in got.items():
+        cos = {i: float(x[q] @ v / np.sqrt((x[q] @ x[q]) * (v @ v))) for i, v in x.items() if i != q}
+        best = sorted(cos, key=lambda i: (-cos[i], i))[:5]
+        assert [i for _, i, _ in sorted(found)] == best and all(s == pytest.approx(cos[i], abs=1e-9) for _, i, s in found)
 
 
 # --- pages
