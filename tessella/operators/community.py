@@ -12,7 +12,7 @@ from tessella.plans.materialize import written
 
 from .topology import both_ways, project, record_degree
 
-#: Nodes up to which modularity is optimised on the driver (integers and weights only); larger graphs take label propagation.
+#: Nodes up to which modularity is optimised on the driver (integers and weights only), ten times as many pairs; larger graphs are refused.
 LOCAL = 200_000
 
 
@@ -106,23 +106,27 @@ def propagate(pairs: DataFrame, rounds: int = 12) -> DataFrame:
     return state.withColumnRenamed("label", "community")
 
 
-def communities(nodes: DataFrame, edges: DataFrame, multigraph: bool = True, resolution: float = 1.0, hubs_percentile: float | None = None, local: int = LOCAL) -> DataFrame:
+def communities(nodes: DataFrame, edges: DataFrame, multigraph: bool = True, resolution: float = 1.0, hubs_percentile: float | None = None, method: str = "modularity", local: int = LOCAL) -> DataFrame:
     """id, community: 0 is the largest (ties: smaller members), isolates alone.
 
     Multigraphs are projected by confidence, others keep their usable weights. Hubs above a degree percentile are left out and
     then join their neighbours' commonest community. Oversized groups (a quarter of the nodes, ten at least) and loose large ones
-    are split again. Graphs above ``local`` nodes, or ten times as many pairs, use label propagation, without the splits.
+    are split again. That is ``method`` modularity, which refuses graphs above ``local`` nodes or ten times as many pairs. The
+    method labels has no such bound: label propagation by joins, numbered alike, for which resolution and hubs have no meaning and are refused.
     """
+    if method not in ("modularity", "labels"):
+        raise ValueError("method is modularity or labels")
+    if method == "labels" and (resolution != 1.0 or hubs_percentile is not None):
+        raise ValueError("label propagation has neither a resolution nor hubs")
     pairs = project(edges, "confidence") if multigraph else edges.where("source <> target").groupBy(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(F.max(usable_weight(F.col("weight"))).alias("weight"))
     live = nodes.select("id").distinct()
     pairs = written(pairs.select("a", "b", "weight").join(live.withColumnRenamed("id", "a"), "a", "left_semi").join(live.withColumnRenamed("id", "b"), "b", "left_semi"), "pairs")
-    n = live.count()
-    if n > local or pairs.count() > 10 * local:
-        found = propagate(pairs)
-        whole = live.join(found, "id", "left").select("id", F.coalesce("community", "id").alias("c"))
+    if method == "labels":
+        whole = written(live.join(propagate(pairs), "id", "left").select("id", F.coalesce("community", "id").alias("c")), "labels")
         sizes = whole.groupBy("c").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-        ranked = sizes.withColumn("community", F.xxhash64("c"))
-        return whole.join(ranked.select("c", "community"), "c").select("id", "community")
+        return whole.join(numbered(sizes, F.desc("n"), "first").select("c", F.col("number").alias("community")), "c").select("id", "community")
+    if live.count() > local or pairs.count() > 10 * local:
+        raise ValueError(f"modularity is optimised on one machine, up to {local} nodes; use the method labels")
     names = sorted(r.id for r in live.collect())  # at most ``local`` ids
     links = sorted((r.a, r.b, float(r.weight)) for r in pairs.collect())
     hubs: set[str] = set()
@@ -145,6 +149,19 @@ def communities(nodes: DataFrame, edges: DataFrame, multigraph: bool = True, res
     return nodes.sparkSession.createDataFrame([(x, i) for i, g in enumerate(groups) for x in g], "id string, community long")
 
 
+def numbered(df: DataFrame, *order) -> DataFrame:
+    """Adds ``number``, 0 and up in an order over all rows: sorted in parallel, the driver holds one count a partition."""
+    placed = written(df.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_m", 33)
+    before, starts = 0, {}
+    for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect():
+        starts[r.p], before = before, before + r.n
+    if not starts:
+        return placed.withColumn("number", F.col("_m")).drop("_m")
+    first = F.create_map(*[F.lit(x).cast("long") for kv in starts.items() for x in kv])
+    return placed.withColumn("number", first[part] + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_m")
+
+
 def cohesion(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """community, size, cohesion: simple edges inside over all possible ones; 1.0 for one node."""
     c = nodes.select("id", "community").where("community is not null")
@@ -218,12 +235,15 @@ def assign(score: dict[tuple[int, int], int]) -> dict[int, int]:
     return match
 
 
-def remap(new: DataFrame, old: DataFrame) -> DataFrame:
+def remap(new: DataFrame, old: DataFrame, most: int = 50_000) -> DataFrame:
     """id, community with ids of an earlier assignment kept where they overlap most; new ids are ones not used before.
 
-    Overlaps are one join and aggregate; the matching runs on the overlap counts, of which there are as many as community pairs.
+    Overlaps are one join and aggregate; the matching runs on the overlap counts, of which there are as many as community pairs:
+    more than ``most`` are refused.
     """
-    pairs = new.join(old.withColumnRenamed("community", "old"), "id").groupBy("old", "community").agg(F.count("*").alias("n")).collect()
+    pairs = new.join(old.withColumnRenamed("community", "old"), "id").groupBy("old", "community").agg(F.count("*").alias("n")).limit(most + 1).collect()
+    if len(pairs) > most:
+        raise ValueError(f"more than {most} overlapping communities")
     match = assign({(r.old, r.community): r.n for r in pairs})
     used = {r.community for r in old.select("community").distinct().collect()}
     rest = [r.community for r in new.groupBy("community").agg(F.count("*").alias("n"), F.min("id").alias("i")).orderBy(F.desc("n"), "i").collect() if r.community not in match]
@@ -233,9 +253,11 @@ def remap(new: DataFrame, old: DataFrame) -> DataFrame:
     return new.join(names, "community").select("id", F.col("final").alias("community"))
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, most: int = 5000) -> tuple[DataFrame, DataFrame]:
-    """Exact (id, score) and (a, b, score): shortest-path dependencies by source, sources spread over tasks with the adjacency
-    broadcast; refused above ``most`` nodes, which bounds the broadcast."""
+def betweenness(nodes: DataFrame, edges: DataFrame, most: int = 5000, sample: int | None = None, most_pairs: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+    """(id, score) and (a, b, score): shortest-path dependencies by source, sources spread over tasks with the adjacency
+    broadcast; refused above ``most`` nodes or ``most_pairs`` pairs between them, which bounds the broadcast.
+
+    Exact, or from ``sample`` sources (by hash of the id) scaled up to all."""
     from collections.abc import Iterator
 
     import pandas as pd
@@ -244,8 +266,13 @@ def betweenness(nodes: DataFrame, edges: DataFrame, most: int = 5000) -> tuple[D
     n = nodes.select("id").distinct().count()
     if n > most:
         raise ValueError(f"exact betweenness is limited to {most} nodes")
+    ids = nodes.select("id").distinct()
+    inner = both_ways(edges).where("a <> b").distinct().join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi")
+    inner = inner.limit(2 * most_pairs + 1).collect()
+    if len(inner) > 2 * most_pairs:
+        raise ValueError(f"betweenness is limited to {most_pairs} pairs")
     near: dict[str, list[str]] = defaultdict(list)
-    for r in both_ways(edges).where("a <> b").distinct().collect():
+    for r in inner:
         near[r.a].append(r.b)
     shared = spark.sparkContext.broadcast({k: sorted(v) for k, v in near.items()})
 
@@ -275,8 +302,9 @@ def betweenness(nodes: DataFrame, edges: DataFrame, most: int = 5000) -> tuple[D
                         rows.append((w, "", share[w]))
             yield pd.DataFrame(rows, columns=["a", "b", "c"])
 
-    ids = nodes.select("id").distinct()
-    part = ids.repartition(max(1, min(64, n))).mapInPandas(run, "a string, b string, c double").groupBy("a", "b").agg((F.sum("c") / 2).alias("score"))
+    sources = ids if sample is None or n <= sample else ids.orderBy(F.xxhash64("id"), "id").limit(sample)
+    up = n / min(n, sample or n) if n else 1.0
+    part = sources.repartition(max(1, min(64, n))).mapInPandas(run, "a string, b string, c double").groupBy("a", "b").agg((F.sum("c") * (up / 2)).alias("score"))
     part = written(part, "betweenness")
     scored = part.where("b = ''").select(F.col("a").alias("id"), "score")
     return ids.join(scored, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score")), part.where("b <> ''").select("a", "b", "score")

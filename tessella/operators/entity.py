@@ -72,8 +72,8 @@ def candidates(nodes: DataFrame) -> DataFrame:
 def fuzzy_pairs(cands: DataFrame) -> DataFrame:
     """a, b (a first by norm) of the accepted pairs among those that share an LSH band.
 
-    Bands are grouped by their hash; inside a group only rows are compared, in the task that holds it, and a group above a
-    bound is compared in blocks of it, so no group is gathered whole.
+    Bands are grouped by their hash. A bucket is cut into blocks of bounded size and each pair of blocks is a group of its own,
+    so no bucket is gathered whole.
     """
     block = 2000
 
@@ -89,22 +89,21 @@ def fuzzy_pairs(cands: DataFrame) -> DataFrame:
     rows = cands.select("id", "norm", "file", "anchored", "community").mapInPandas(banded, "band int, h long, id string, norm string, file string, anchored boolean, community string")
     size = rows.groupBy("band", "h").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
     held = rows.join(size, ["band", "h"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    spread = held.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("lo"), F.greatest(o, F.col("own")).alias("hi")))
+    spread = held.withColumn("pair", F.explode(pairs)).select("*", "pair.lo", "pair.hi").drop("pair", "blocks")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         rs = pdf.sort_values("norm").to_dict("records")
-        inside = [r for r in rs if r["own"] == r["block"]]
-        for x in rs:
-            for y in inside:
-                if x["norm"] < y["norm"] or (x["norm"] > y["norm"] and x["own"] != x["block"]):
-                    p, q = (x, y) if x["norm"] < y["norm"] else (y, x)
+        for i, p in enumerate(rs):
+            for q in rs[i + 1 :]:
+                if p["lo"] == p["hi"] or p["own"] != q["own"]:
                     boost = BOOST if isinstance(p["community"], str) and p["community"] == q["community"] else 0.0
                     if accepted(p["norm"], q["norm"], p["file"] == q["file"], p["anchored"] and q["anchored"], boost):
                         out.append((p["id"], q["id"]))
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return spread.groupBy("band", "h", "block").applyInPandas(compare, "a string, b string").distinct()
+    return spread.groupBy("band", "h", "lo", "hi").applyInPandas(compare, "a string, b string").distinct()
 
 
 def exact_pairs(nodes: DataFrame) -> DataFrame:

@@ -73,8 +73,8 @@ def idf(nodes: DataFrame, terms: list[str]) -> dict[str, float]:
     return {t: math.log(1 + n / (1 + row[f"t{i}"])) for i, t in enumerate(terms)}
 
 
-def score_nodes(nodes: DataFrame, terms: list[str]) -> DataFrame:
-    """id, label, score above 0. Per term the strongest of exact, prefix and part, plus a source match, by rarity; the whole query
+def score_nodes(nodes: DataFrame, terms: list[str], among: DataFrame | None = None) -> DataFrame:
+    """id, label, score above 0 of the nodes (or of those ``among`` them). Per term the strongest of exact, prefix and part, plus a source match, by rarity; the whole query
     as a label counts ten times the rarest term."""
     toks = [t for term in terms for t in tokens_of(term)]
     if not toks:
@@ -89,7 +89,7 @@ def score_nodes(nodes: DataFrame, terms: list[str]) -> DataFrame:
         w = weight[t]
         score = score + F.when((norm == t) | (bare == t), EXACT * w).when(norm.startswith(t) | bare.startswith(t), PREFIX * w).when(norm.contains(t), PART * w).otherwise(0.0)
         score = score + F.when(src.contains(t), SOURCE * w).otherwise(0.0)
-    return searchable(nodes).select("id", "label", score.alias("score")).where("score > 0")
+    return searchable(nodes if among is None else among).select("id", "label", score.alias("score")).where("score > 0")
 
 
 def seeds(scored: DataFrame, most: int = 3, gap: float = 0.2) -> DataFrame:
@@ -176,9 +176,11 @@ def cross_community(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.select("ca", "cb", "r.source", "r.target", "r.relation", "r.confidence")
 
 
-def questions(nodes: DataFrame, edges: DataFrame, top: int = 7) -> DataFrame:
-    """Suggested questions: ambiguous edges, then hubs with inferred edges, then isolated nodes, then loose communities."""
-    from .community import cohesion
+def questions(nodes: DataFrame, edges: DataFrame, top: int = 7, most: int = 50_000) -> DataFrame:
+    """Suggested questions: ambiguous edges, then the three nodes most paths pass, then hubs with inferred edges, then isolated
+    nodes, then loose communities. Above 1,000 nodes paths are counted from 100 of them, above ``most`` nodes not at all.
+    """
+    from .community import betweenness, cohesion
 
     d = nodes.join(distinct_degree(nodes, edges), "id")
     amb = edges.where("confidence = 'AMBIGUOUS'").select(F.lit(1).alias("part"), F.lit(0.0).alias("rank"), F.concat_ws("\u001f", "source", "target", "key").alias("tie"), F.concat(F.lit("Is "), "source", F.lit(" really related to "), "target", F.lit("?")).alias("question"))
@@ -187,4 +189,10 @@ def questions(nodes: DataFrame, edges: DataFrame, top: int = 7) -> DataFrame:
     hubs = real.join(inf, "id").orderBy(F.desc("degree"), "id").limit(5).select(F.lit(3).alias("part"), (-F.col("degree")).cast("double").alias("rank"), F.col("id").alias("tie"), F.concat(F.lit("Are the "), F.col("n").cast("string"), F.lit(" inferred links of "), F.coalesce("label", "id"), F.lit(" right?")).alias("question"))
     lone = real.where("degree <= 1").agg(F.count("*").alias("n"), F.min("id").alias("i")).where("n > 0").select(F.lit(4).alias("part"), F.lit(0.0).alias("rank"), F.lit("").alias("tie"), F.concat(F.lit("What connects "), "i", F.lit(" and others to the rest? ("), F.col("n").cast("string"), F.lit(" nodes)")).alias("question"))
     loose = cohesion(nodes, edges).where("size >= 5 and cohesion < 0.15").select(F.lit(5).alias("part"), "cohesion", F.lpad(F.col("community").cast("string"), 12, "0").alias("tie"), F.concat(F.lit("Should community "), F.col("community").cast("string"), F.lit(" be split?")).alias("question")).withColumnRenamed("cohesion", "rank")
-    return reduce(DataFrame.unionByName, [amb, hubs, lone, loose]).orderBy("part", "rank", "tie").limit(top).select("part", "question")
+    n = nodes.count()
+    parts = [amb, hubs, lone, loose]
+    if n <= most:
+        scores, _ = betweenness(nodes, edges, most, 100 if n > 1000 else None)
+        bridge = real.join(scores, "id").where("score > 0").orderBy(F.desc("score"), "id").limit(3)
+        parts.append(bridge.select(F.lit(2).alias("part"), (-F.col("score")).alias("rank"), F.col("id").alias("tie"), F.concat(F.lit("Why do so many paths pass "), F.coalesce("label", "id"), F.lit("?")).alias("question")))
+    return reduce(DataFrame.unionByName, parts).orderBy("part", "rank", "tie").limit(top).select("part", "question")

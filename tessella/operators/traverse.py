@@ -32,10 +32,11 @@ def expand(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 3,
     A layer becomes visited only when it is complete, so a node met from two parents of one layer gives two edges. Nodes that
     aren't seeds and have at least the gate's degree are reported but not expanded.
     """
-    near = both_ways(edges).where("a <> b").distinct()
-    degrees = distinct_degree(nodes, edges)
-    gate = hub_gate(degrees) if gated else None
-    closed = degrees.where(F.col("degree") >= gate).select("id") if gated else None
+    near = written(both_ways(edges).where("a <> b").distinct(), "near")  # every level reads it, none builds it again
+    closed = None
+    if gated:
+        degrees = written(distinct_degree(nodes, edges), "degrees")
+        closed = written(degrees.where(F.col("degree") >= hub_gate(degrees)).select("id"), "hubs")
     visited = written(seeds.select("id").distinct().withColumn("level", F.lit(0)), "bfs")
     found = None
     for level in range(1, depth + 1):
@@ -116,7 +117,7 @@ def shortest_path(edges: DataFrame, source: str, target: str, most: int = 8) ->
     smallest: a prefix of a least path is itself the least path to its end.
     """
     spark = edges.sparkSession
-    near = both_ways(edges).where("a <> b").distinct()
+    near = written(both_ways(edges).where("a <> b").distinct(), "near")
     front = spark.createDataFrame([(source, [source])], "id string, path array<string>")
     seen = front.select("id")
     for _ in range(most + 1):
@@ -139,6 +140,11 @@ def cycles(pairs: DataFrame, longest: int = 5, top: int | None = 20) -> DataFram
     """
     e = pairs.select("source", "target").where("source is not null and target is not null").distinct()
     e = written(e, "cycles")
+    for _ in range(8):  # what no cycle can pass goes first: ends without a way in or out, again and again
+        n = e.count()
+        e = written(e.join(e.select(F.col("target").alias("source")), "source", "left_semi").join(e.select(F.col("source").alias("target")), "target", "left_semi").select("source", "target"), "cycles")
+        if e.count() == n:
+            break
     loops = e.where("source = target").select(F.array("source").alias("nodes"))
     chain = e.where("source < target").select(F.array("source", "target").alias("nodes"), F.col("target").alias("end"))
     out = loops

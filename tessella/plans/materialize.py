@@ -27,11 +27,14 @@ def ship(spark: SparkSession) -> None:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the place all executors share (spark.checkpoint.dir), removed when the driver's JVM ends.
 
-    Only where that setting is absent (local tests) a temporary folder is used.
+    A folder given to setCheckpointDir serves too. Only where there is neither a temporary folder is used, and only with a
+    local master: elsewhere executors would write to disks of their own.
     """
     sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_tessella_scratch", None)
+    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or getattr(sc, "_tessella_scratch", None)
     if not base:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = sc._tessella_scratch = "file://" + tempfile.mkdtemp(prefix="tessella-")
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
     where = sc._jvm.org.apache.hadoop.fs.Path(path)

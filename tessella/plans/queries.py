@@ -109,11 +109,9 @@ def neighbours(spark, d):
 
 # --- traversal
 
-BFS = DEGREE + """, near AS (SELECT DISTINCT a, b FROM two WHERE a <> b), gate AS (SELECT GREATEST(50, MIN(degree)) g FROM (SELECT degree, ROW_NUMBER() OVER (ORDER BY degree) - 1 r, COUNT(*) OVER () n FROM degree) WHERE r >= CAST(FLOOR(0.99 * n) AS BIGINT)),
-l0 AS (SELECT 'nation:3' AS id),
-e1 AS (SELECT a source, b target FROM near JOIN l0 ON a = id WHERE b NOT IN (SELECT id FROM l0)), l1 AS (SELECT DISTINCT target id FROM e1), v1 AS (SELECT id FROM l0 UNION SELECT id FROM l1),
-e2 AS (SELECT a source, b target FROM near JOIN l1 ON a = id WHERE a NOT IN (SELECT id FROM degree, gate WHERE degree >= g) AND b NOT IN (SELECT id FROM v1)), l2 AS (SELECT DISTINCT target id FROM e2), v2 AS (SELECT id FROM v1 UNION SELECT id FROM l2),
-e3 AS (SELECT a source, b target FROM near JOIN l2 ON a = id WHERE a NOT IN (SELECT id FROM degree, gate WHERE degree >= g) AND b NOT IN (SELECT id FROM v2)), l3 AS (SELECT DISTINCT target id FROM e3)"""
+_LEVEL = """, e{n} AS MATERIALIZED (SELECT a source, b target FROM near SEMI JOIN (SELECT id FROM l{p}{open}) f ON near.a = f.id ANTI JOIN v{p} ON near.b = v{p}.id), l{n} AS MATERIALIZED (SELECT DISTINCT target id FROM e{n}), v{n} AS MATERIALIZED (SELECT id FROM v{p} UNION SELECT id FROM l{n})"""
+BFS = DEGREE.replace(" AS (", " AS MATERIALIZED (") + """, near AS MATERIALIZED (SELECT DISTINCT a, b FROM two WHERE a <> b), gate AS MATERIALIZED (SELECT GREATEST(50, MIN(degree)) g FROM (SELECT degree, ROW_NUMBER() OVER (ORDER BY degree) - 1 r, COUNT(*) OVER () n FROM degree) WHERE r >= CAST(FLOOR(0.99 * n) AS BIGINT)),
+hub AS MATERIALIZED (SELECT id FROM degree, gate WHERE degree >= g), l0 AS MATERIALIZED (SELECT 'nation:3' AS id), v0 AS MATERIALIZED (SELECT id FROM l0)""" + "".join(_LEVEL.format(n=n, p=n - 1, open="" if n == 1 else " EXCEPT SELECT id FROM hub") for n in (1, 2, 3))
 
 
 def _seed(spark, *ids: str) -> DataFrame:
@@ -144,28 +142,42 @@ def shortest_path(spark, d):
     return traverse.shortest_path(supply_graph(spark, d)[1], "customer:1", "part:5")
 
 
-TRADE = "SELECT DISTINCT 'n' || lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS source, 'n' || lpad(CAST(s_nationkey AS VARCHAR), 2, '0') AS target FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity = 50 AND l_discount >= 0.08"
+TRADE = "SELECT DISTINCT 'n' || lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS source, 'n' || lpad(CAST(s_nationkey AS VARCHAR), 2, '0') AS target FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey"
 
 
-@query(f"""WITH RECURSIVE e AS ({TRADE}), c AS (SELECT source s, target t, [source, target] AS nodes FROM e WHERE source < target UNION ALL SELECT s, target, list_append(nodes, target) FROM c JOIN e ON t = source WHERE target > s AND NOT list_contains(nodes, target) AND len(nodes) < 3)
-SELECT 1 AS length, source AS nodes FROM e WHERE source = target UNION ALL SELECT CAST(len(nodes) AS INT), array_to_string(nodes, ' > ') FROM c JOIN e ON t = source AND target = s""")
-def cycles_len3(spark, d):
+def _trade(spark, d) -> DataFrame:
+    """Who buys from whom: nations of the customers and of the suppliers of every line item."""
     line, orders, customer, supplier = load(spark, d, "lineitem", "orders", "customer", "supplier")
     name = lambda c: F.concat(F.lit("n"), F.lpad(F.col(c).cast("string"), 2, "0"))
-    j = line.where("l_quantity = 50 and l_discount >= 0.08").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customer, F.col("o_custkey") == F.col("c_custkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-    return traverse.cycles(j.select(name("c_nationkey").alias("source"), name("s_nationkey").alias("target")), 3, None)
+    j = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customer, F.col("o_custkey") == F.col("c_custkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    return j.select(name("c_nationkey").alias("source"), name("s_nationkey").alias("target"))
 
 
-CC = "SELECT 's' || CAST(l_suppkey AS VARCHAR) AS a, 'p' || CAST(l_partkey AS VARCHAR) AS b FROM lineitem WHERE l_quantity = 49 AND l_discount = 0.1 AND l_tax >= 0.07"
+_CYCLES = f"""WITH e AS MATERIALIZED ({TRADE}), c2 AS (SELECT source s, target t, [source, target] AS p FROM e WHERE source < target)""" + "".join(f", c{n} AS (SELECT s, target t, list_append(p, target) AS p FROM c{n - 1} JOIN e ON t = source WHERE target > s AND NOT list_contains(p, target))" for n in (3, 4, 5)) + ", found AS (SELECT 1 AS length, source AS nodes FROM e WHERE source = target" + "".join(f" UNION ALL SELECT {n}, array_to_string(p, ' > ') FROM c{n} JOIN e ON t = source AND target = s" for n in (2, 3, 4, 5)) + ")"
 
 
-@query(f"""WITH RECURSIVE e AS ({CC}), two AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS reached FROM two UNION SELECT r.node, two.b FROM r JOIN two ON r.reached = two.a)
-SELECT node, MIN(reached) AS component FROM r GROUP BY node""")
+@query(_CYCLES + " SELECT length, COUNT(*) AS n, MIN(nodes) AS first, MAX(nodes) AS last FROM found GROUP BY length")
+def cycles_by_length(spark, d):
+    """Every cycle of up to five nations, counted: the graph is nearly complete, so there are over a million."""
+    return traverse.cycles(_trade(spark, d), 5, None).groupBy("length").agg(F.count("*").alias("n"), F.min("nodes").alias("first"), F.max("nodes").alias("last"))
+
+
+@query(_CYCLES + " SELECT length, nodes FROM found ORDER BY length, nodes LIMIT 20")
+def cycles_top20(spark, d):
+    return traverse.cycles(_trade(spark, d))
+
+
+CC = "SELECT 's' || CAST(l_suppkey AS VARCHAR) AS a, 'p' || CAST(l_partkey AS VARCHAR) AS b FROM lineitem UNION ALL SELECT 'c' || CAST(o_custkey AS VARCHAR), 'o' || CAST(o_orderkey AS VARCHAR) FROM orders"
+
+
+@query(f"""WITH two AS MATERIALIZED (SELECT a, b FROM ({CC}) UNION SELECT b, a FROM ({CC})), r0 AS MATERIALIZED (SELECT DISTINCT a AS node, a AS c FROM two)""" + "".join(f", r{n} AS MATERIALIZED (SELECT node, LEAST(MIN(r.c), MIN(o.c)) AS c FROM r{n - 1} r JOIN two ON r.node = two.a JOIN (SELECT node AS other, c FROM r{n - 1}) o ON o.other = two.b GROUP BY node)" for n in range(1, 9)) + " SELECT node, c AS component FROM r8")
 def components(spark, d):
+    """Suppliers and parts of every line item, and customers and orders of every order. The SQL passes the least label on eight times."""
     from tessella.operators.components import connected_components
 
-    line = load(spark, d, "lineitem")[0].where("l_quantity = 49 and l_discount = 0.1 and l_tax >= 0.07")
-    return connected_components(line.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("a"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("b")))
+    line, orders = load(spark, d, "lineitem", "orders")
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    return connected_components(line.select(name("s", "l_suppkey").alias("a"), name("p", "l_partkey").alias("b")).union(orders.select(name("c", "o_custkey"), name("o", "o_orderkey"))))
 
 
 # --- ranking
@@ -260,14 +272,23 @@ def cross_community_counts(spark, d):
 
 @query()
 def detected_communities(spark, d):
-    n, e = supply_graph(spark, d)
-    return community.communities(n.where("id not like 'customer:%'"), e.where("relation <> 'lives_in'"))
+    return community.communities(*supply_graph(spark, d))
 
 
 @query()
+def label_communities(spark, d):
+    return community.communities(*supply_graph(spark, d), method="labels")
+
+
+GEO = "SELECT id FROM nodes WHERE file_type = 'concept'"
+
+
+@query(f""", g AS ({GEO}), t AS (SELECT e.source, e.target FROM edges e WHERE relation = 'in_region'), k AS (SELECT target, COUNT(*) n, (SELECT COUNT(*) FROM t x WHERE x.target = t.target) FROM t GROUP BY target)
+SELECT id, CAST(COALESCE(n * (n - 1) / 2.0, 0) AS DOUBLE) AS score FROM g LEFT JOIN k ON id = target""", True)
 def nation_betweenness(spark, d):
+    """Nations around their regions are stars, so the middle of n leaves lies on n (n - 1) / 2 paths."""
     n, e = supply_graph(spark, d)
-    return community.betweenness(n.where("file_type = 'concept'"), e.where("relation = 'in_region'"))[0].withColumn("score", F.round("score", 6))
+    return community.betweenness(n.where("file_type = 'concept'"), e)[0].withColumn("score", F.round("score", 6))
 
 
 # --- merge
@@ -444,9 +465,23 @@ def doc_secrets_provider(spark, d):
     return load(spark, d, "documents")[0].select("doc_id", F.when(t.rlike(P.SECRETS[0][1]), "private_key").when(t.rlike(P.SECRETS[1][1]), "provider_key").alias("reason"))
 
 
-@query()
+_SECRET = "length(v) >= 12 AND regexp_matches(v, '[A-Z]')::INT + regexp_matches(v, '[0-9]')::INT + regexp_matches(v, '[^A-Za-z0-9]')::INT + regexp_matches(v, '[a-z]')::INT >= 3 AND NOT regexp_matches(lower(v), 'example|placeholder|changeme|your[_-]|dummy|xxxx|<.*>|\\$\\{')"
+_REASON = "CASE WHEN regexp_matches(text, '" + P.SECRETS[0][1] + "') THEN 'private_key' WHEN regexp_matches(text, '" + P.SECRETS[1][1] + "') THEN 'provider_key' WHEN len(list_filter(regexp_extract_all(text, '" + P.ASSIGNED.replace("'", "''") + f"', 1), lambda v: {_SECRET})) > 0 THEN 'secret_assignment' END"
+
+
+#: Texts with planted secrets: what the given ones hold (hex digests) is no secret by the rule of three classes.
+_PLANTED = "(SELECT doc_id, text || CASE doc_id % 8 WHEN 0 THEN ' api_key = Zx9-qwerty-Q1w2' WHEN 1 THEN ' -----BEGIN RSA PRIVATE ' || 'KEY-----' WHEN 2 THEN ' AKIA' || 'ABCDEFGHIJKLMNOP' WHEN 3 THEN ' token: example-Placeholder1' ELSE '' END AS text FROM documents)"
+
+
+def _planted(spark, d) -> DataFrame:
+    k, f = F.col("doc_id") % 8, lambda *xs: F.concat(F.lit(" "), *map(F.lit, xs))
+    more = F.when(k == 0, f("api_key = Zx9-qwerty-Q1w2")).when(k == 1, f("-----BEGIN RSA PRIVATE ", "KEY-----")).when(k == 2, f("AKIA", "ABCDEFGHIJKLMNOP")).when(k == 3, f("token: example-Placeholder1")).otherwise("")
+    return load(spark, d, "documents")[0].select("doc_id", F.concat("text", more).alias("text"))
+
+
+@query(f"SELECT doc_id, {_REASON} AS reason FROM {_PLANTED}")
 def doc_secrets(spark, d):
-    return load(spark, d, "documents")[0].select("doc_id", P.credential_content(F.col("text")).alias("reason"))
+    return _planted(spark, d).select("doc_id", P.credential_content(F.col("text")).alias("reason"))
 
 
 @query("WITH c AS (SELECT p_partkey, UNNEST(string_split(lower(p_name), '')) AS ch FROM part), n AS (SELECT p_partkey, ch, COUNT(*) AS n FROM c GROUP BY 1, 2), t AS (SELECT p_partkey, SUM(n) AS t FROM n GROUP BY 1) SELECT p_partkey, ROUND(-SUM(n / t * log2(n / t)), 9) AS entropy FROM n JOIN t USING (p_partkey) GROUP BY 1")
@@ -492,18 +527,18 @@ def doc_slices(spark, d):
     return prepare.slices(load(spark, d, "documents")[0], 4000).drop("text")
 
 
-@query()
-def token_packing(spark, d):
-    docs = load(spark, d, "documents")[0]
-    return prepare.pack(docs.select(F.concat_ws("/", "source", F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("path"), prepare.token_estimate(F.col("text")).alias("tokens"), F.lit(False).alias("is_image")), 20_000)
-
-
 @query()
 def fuzzy_names(spark, d):
+    """Part names beside misspelt ones (two letters swapped): all parts, each name once as it is and once misspelt."""
     from tessella.operators.entity import candidates, fuzzy_pairs
 
-    part = load(spark, d, "part")[0].select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("label"), F.lit("concept").alias("file_type"), F.lit("a.md").alias("source_file"), F.col("p_partkey").alias("pos"))
-    return fuzzy_pairs(candidates(part))
+    part = load(spark, d, "part")[0]
+    label = F.concat(F.lit("entity "), F.translate(F.col("p_name"), "#", " "), F.lit(" of brand "), F.translate("p_brand", "#", " "))
+    swapped = F.concat(F.substring(label, 1, 8), F.substring(label, 10, 1), F.substring(label, 9, 1), F.expr("substring(label, 11)"))
+    rows = part.withColumn("label", label)
+    kinds = [(rows, F.col("label"), "p"), (rows, swapped, "q")]
+    out = [df.select(F.concat(F.lit(p), F.col("p_partkey").cast("string")).alias("id"), x.alias("label"), F.lit("concept").alias("file_type"), F.lit("a.md").alias("source_file"), F.col("p_partkey").alias("pos")) for df, x, p in kinds]
+    return fuzzy_pairs(candidates(out[0].union(out[1])))
 
 
 # --- predicates and resolution
@@ -533,21 +568,24 @@ def alias_endpoints(spark, d):
     return merge.resolve_ends(nodes, e)
 
 
-@query(", u AS (SELECT lower(p_name) AS name, MIN(p_partkey) AS k FROM part GROUP BY 1 HAVING COUNT(*) = 1) SELECT DISTINCT 'supplier:' || CAST(l_suppkey AS VARCHAR) AS source, 'part:' || CAST(k AS VARCHAR) AS target, 'calls' AS relation, 'INFERRED' AS confidence, CAST(0.8 AS DOUBLE) AS confidence_score FROM lineitem JOIN part ON l_partkey = p_partkey JOIN u ON lower(p_name) = name WHERE l_quantity = 7 AND NOT EXISTS (SELECT 1 FROM edges WHERE relation = 'calls' AND source = 'supplier:' || CAST(l_suppkey AS VARCHAR) AND target = 'part:' || CAST(k AS VARCHAR))", True)
+@query(", n AS (SELECT p_partkey AS k, lower(p_name) || ' ' || CAST(p_partkey % 900 AS VARCHAR) AS name FROM part), u AS (SELECT name, MIN(k) AS k FROM n GROUP BY 1 HAVING COUNT(*) = 1), known AS (SELECT DISTINCT source, target FROM edges WHERE relation = 'calls' AND confidence = 'EXTRACTED') SELECT c.source, c.target, 'calls' AS relation, 'INFERRED' AS confidence, CAST(0.8 AS DOUBLE) AS confidence_score FROM (SELECT DISTINCT 'supplier:' || CAST(l_suppkey AS VARCHAR) AS source, 'part:' || CAST(u.k AS VARCHAR) AS target FROM lineitem JOIN n ON l_partkey = n.k JOIN u ON n.name = u.name) c ANTI JOIN known ON c.source = known.source AND c.target = known.target", True)
 def unique_calls(spark, d):
+    """Every line item as a call by a name that some parts share; calls that were extracted are known already."""
     from tessella.operators.calls import unique_calls as resolve
 
-    nodes, edges = supply_graph(spark, d)
+    edges = supply_graph(spark, d)[1]
     line, part = load(spark, d, "lineitem", "part")
-    calls = line.where("l_quantity = 7").join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.concat(F.lit("supplier:"), F.col("l_suppkey").cast("string")).alias("caller"), F.col("p_name").alias("callee"), F.lit(False).alias("is_member_call"), F.lit("supply/supplier.py").alias("source_file"))
-    return resolve(calls, nodes.where("id like 'part:%'"), edges)
+    name = F.concat("p_name", F.lit(" "), (F.col("p_partkey") % 900).cast("string"))
+    nodes = part.select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"), name.alias("label"), F.lit("code").alias("file_type"))
+    calls = line.join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.concat(F.lit("supplier:"), F.col("l_suppkey").cast("string")).alias("caller"), name.alias("callee"), F.lit(False).alias("is_member_call"), F.lit("supply/supplier.py").alias("source_file"))
+    return resolve(calls, nodes, edges.where("confidence = 'EXTRACTED'"))
 
 
-@query("WITH d AS (SELECT doc_id, regexp_matches(text, '" + P.SECRETS[0][1] + "') AS a, regexp_matches(text, '" + P.SECRETS[1][1] + "') AS b, sha256(text) AS digest FROM documents) SELECT doc_id, digest FROM d WHERE a OR b")
+@query(f"SELECT doc_id, r AS reason, digest FROM (SELECT doc_id, {_REASON} AS r, sha256(text) AS digest FROM {_PLANTED}) WHERE r IS NOT NULL")
 def egress_blocked(spark, d):
-    docs = load(spark, d, "documents")[0].select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.col("text").alias("content"))
-    out = prepare.egress(docs).where("reason in ('private_key', 'provider_key')")
-    return out.select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("doc_id"), "digest")
+    docs = _planted(spark, d).select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.col("text").alias("content"))
+    out = prepare.egress(docs).where("not eligible")
+    return out.select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("doc_id"), "reason", "digest")
 
 
 @query("SELECT 'demo::c' || CAST(c_custkey AS VARCHAR) AS id, 'c' || CAST(c_custkey AS VARCHAR) AS local_id, 'demo' AS repo FROM customer")
@@ -611,7 +649,18 @@ def section_keywords(spark, d):
     return sections.keywords(load(spark, d, "part")[0].select(F.col("p_brand").alias("section"), F.col("p_name").alias("label")))
 
 
-@query()
+def _quoted(c: str) -> str:
+    """SQL for a text inside a single-quoted string of the graph language."""
+    return f"replace(replace({c}, chr(92), chr(92) || chr(92)), chr(39), chr(92) || chr(39))"
+
+
+_LINES = """ SELECT 'MERGE (n:' || upper(file_type[1:1]) || lower(file_type[2:]) || ' {id: ' || q || IDS || q || '}) SET n.label = ' || q || LABEL || q || ';' AS value FROM nodes, quote
+UNION ALL SELECT 'MATCH (a {id: ' || q || SOURCE || q || '}), (b {id: ' || q || TARGET || q || '}) MERGE (a)-[r:' || upper(relation) || ' {key: ' || q || KEYS || q || '}]->(b) SET r.confidence = ' || q || confidence || q || ';' FROM edges, quote"""
+for _word, _column in (("IDS", "id"), ("LABEL", "label"), ("SOURCE", "source"), ("TARGET", "target"), ("KEYS", '"key"')):
+    _LINES = _LINES.replace(_word, _quoted(_column))
+
+
+@query(", quote AS (SELECT chr(39) AS q)" + _LINES, True)
 def cypher_lines(spark, d):
     return cypher(*supply_graph(spark, d))
 
@@ -632,3 +681,5 @@ def stream_merge(spark, d):
 
 
 ORACLE["stream_merge"] = "WITH o AS (SELECT 'o' || CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS label, 'c' || CAST(o_custkey AS VARCHAR) AS source_file, o_orderstatus = 'P' AS deleted, epoch_us(o_orderdate) AS pos FROM orders) SELECT id, label, source_file FROM o WHERE NOT deleted AND pos = (SELECT MAX(pos) FROM o o2 WHERE o2.source_file = o.source_file)"
+
+from tessella.plans import registered as _registered  # noqa: E402, F401  (more queries, on the same registry)

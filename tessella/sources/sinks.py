@@ -146,11 +146,20 @@ def layout(nodes: DataFrame, edges: DataFrame) -> list[tuple[str, str, float, fl
     return [(r.id, r.label or r.id, 500 + 450 * math.cos(2 * math.pi * i / n), 500 + 450 * math.sin(2 * math.pi * i / n)) for i, r in enumerate(rows)]
 
 
+def drawn(edges: DataFrame, ids) -> list:
+    """The distinct links between the drawn nodes, in order; refused above twenty a node."""
+    inner = edges.where(F.col("source").isin(*ids) & F.col("target").isin(*ids)) if len(ids) <= 500 else edges
+    rows = inner.select("source", "target").distinct().orderBy("source", "target").limit(20 * VIEW_NODES + 1).collect()
+    if len(rows) > 20 * VIEW_NODES:
+        raise ValueError("too many edges for a drawing")
+    return [r for r in rows if r.source in ids and r.target in ids]
+
+
 def svg(nodes: DataFrame, edges: DataFrame) -> str:
     from html import escape
 
     at = {i: (x, y, t) for i, t, x, y in layout(nodes, edges)}
-    lines = [f'<line x1="{at[r.source][0]:.1f}" y1="{at[r.source][1]:.1f}" x2="{at[r.target][0]:.1f}" y2="{at[r.target][1]:.1f}" stroke="#999"/>' for r in edges.select("source", "target").distinct().collect() if r.source in at and r.target in at]
+    lines = [f'<line x1="{at[r.source][0]:.1f}" y1="{at[r.source][1]:.1f}" x2="{at[r.target][0]:.1f}" y2="{at[r.target][1]:.1f}" stroke="#999"/>' for r in drawn(edges, at)]
     dots = [f'<circle cx="{x:.1f}" cy="{y:.1f}" r="4"><title>{escape(t)}</title></circle>' for x, y, t in at.values()]
     return f'<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 1000 1000">{"".join(lines + dots)}</svg>'
 
@@ -158,7 +167,7 @@ def svg(nodes: DataFrame, edges: DataFrame) -> str:
 def canvas(nodes: DataFrame, edges: DataFrame) -> str:
     """A canvas document: a card a node, placed on a circle, and the links between them."""
     cards = [{"id": i, "type": "text", "text": t, "x": round(x), "y": round(y), "width": 200, "height": 60} for i, t, x, y in layout(nodes, edges)]
-    links = [{"id": f"e{k}", "fromNode": r.source, "toNode": r.target} for k, r in enumerate(edges.select("source", "target").distinct().orderBy("source", "target").collect())]
+    links = [{"id": f"e{k}", "fromNode": r.source, "toNode": r.target} for k, r in enumerate(drawn(edges, {c["id"] for c in cards}))]
     return json.dumps({"nodes": cards, "edges": links})
 
 

@@ -122,7 +122,7 @@ def test_two_cliques_are_two_communities(spark):
     n, e = graph(spark, [*pairs, ("a", "u")], ["lone"])
     found = {r.id: r.community for r in community.communities(n, e).collect()}
     assert len({found[x] for x in left}) == len({found[x] for x in right}) == 1 and len(set(found.values())) == 3
-    big = {r.id: r.community for r in community.communities(n, e, local=3).collect()}
+    big = {r.id: r.community for r in community.communities(n, e, method="labels").collect()}
     assert set(big) == set(found)
     again = community.remap(community.communities(n, e), spark.createDataFrame([(x, 7) for x in right] + [("a", 0)], "id string, community long"))
     assert {r.community for r in again.collect() if r.id in right} == {7}

@@ -38,7 +38,7 @@ def test_query_equals_sql(spark, sf, con, name):
     assert values(found) == values(wanted)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE) - {"doc_slices", "fuzzy_names"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_query_without_sql_gives_rows(spark, sf, name):
     assert QUERIES[name](spark, sf).take(1)
 
