@@ -74,7 +74,14 @@ class Centroids:
         return [g[order[:half]], g[order[half:]]]
 
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and squared distances of about the ``beam`` nearest centroids of each row, nearest first."""
+        """Ids and squared distances of about the ``beam`` nearest centroids of each row, nearest first.
+
+        A step opens a sixteenth of the beam, so that a wide beam doesn't take more steps than a narrow one.
+        """
+        if len(q) > 128:  # a bounded block of rows at a time
+            parts = [self.search(q[i : i + 128], beam) for i in range(0, len(q), 128)]
+            most = min(a.shape[1] for a, _ in parts)
+            return np.concatenate([a[:, :most] for a, _ in parts]), np.concatenate([d[:, :most] for _, d in parts])
         q = q.astype("f4")
         n, lists = len(q), len(self.c)
         beam = min(beam, lists)
@@ -94,7 +101,7 @@ class Centroids:
                 keep = np.argpartition(dist, beam - 1, axis=1)[:, :beam]
                 ids, dist, done = ids[rows, keep], dist[rows, keep], done[rows, keep]
             open_ = np.where(done, np.inf, dist)
-            take = min(4, ids.shape[1])
+            take = min(max(4, beam // 16), ids.shape[1])
             step = np.argpartition(open_, take - 1, axis=1)[:, :take]
             alive = np.isfinite(open_[rows, step])
             if not alive.any():
@@ -107,7 +114,9 @@ class Centroids:
             new = np.where(fresh, new_sorted, 0)
             r, c = np.nonzero(fresh)
             seen[r, new[r, c]] = True
-            d = np.where(fresh, distance(new), np.inf)
+            d = np.full(new.shape, np.inf, "f4")
+            far = norm[r, 0] + size[new[r, c]] - 2 * np.einsum("md,md->m", self.c[new[r, c]], q[r])
+            d[r, c] = np.maximum(far, 0)
             ids, dist, done = np.concatenate([ids, new], 1), np.concatenate([dist, d], 1), np.concatenate([done, ~fresh], 1)
         order = np.argsort(dist, axis=1, kind="stable")
         return ids[rows, order], dist[rows, order]
@@ -224,7 +233,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_
     counts = {r.list: r.n for r in posted.groupBy("list").agg(F.count("*").alias("n")).collect()}  # at most MAX_LISTS rows
     held = np.array([counts.get(i, 0) for i in range(len(index.c))])
     base, shares = shards_of(held, 2 * width(spark))
-    asking = rows.where(F.col("id") % every == 0)
+    asking = rows.where(F.col("id") % every == 0).repartition(width(spark))
     blocks = -(-asking.count() // QUERY_ROWS) or 1
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
