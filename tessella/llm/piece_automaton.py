@@ -31,8 +31,8 @@ from .common import texts
 SPACE = "▁"
 CUT = re.compile(f"(?<=[^{SPACE}])(?={SPACE})")
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Words a worker remembers, and half as many pairs: some 130 MB, as workers outlive a task.
-REMEMBERED = 400_000
+#: Words a worker remembers, and half as many pairs: some 270 MB, as workers outlive a task.
+REMEMBERED = 1_000_000
 NEVER = float("inf")
 #: Longer texts are merged with a heap instead of a scan for each merge.
 SHORT = 64
@@ -110,7 +110,7 @@ class PieceModel:
         for p, i in self.index.items():
             self.auto.add_word(p, (len(p), i))
         self.auto.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # by left x number of pieces + right
         self.alone: dict[int, bool] = {}
         self.parts: dict[str, bytes] = {}
         order = {p: -self.score[i] for p, i in self.index.items()}
@@ -177,7 +177,7 @@ class PieceModel:
                 p = self.listed[i][0]
                 self.alone[i] = self.merge(p) == [p]
             return self.alone[i]
-        key = (left, right)
+        key = left * len(self.listed) + right
         known = self.pairs.get(key)
         if known is None:
             a, b = self.listed[left][0], self.listed[right][0]
@@ -228,18 +228,21 @@ class PieceModel:
         last: list = [None] * (n + 1)
         size = [1] * (n + 1)
         last[0] = -1
-        done, pairs, check = 0, self.pairs.get, self.compatible
+        done, pairs, alone, check, many = 0, self.pairs.get, self.alone.get, self.compatible, len(self.listed)
         for end, (length, i) in self.auto.iter(part):
-            if last[end + 1] is not None:
+            at = end + 1
+            if last[at] is not None:
                 continue
             while done < end:  # no piece ended there: a character of its own
                 done += 1
                 if last[done] is None:
                     last[done] = -1 - ord(part[done - 1])
-            left = last[end + 1 - length]
-            ok = pairs((left, i)) if left >= 0 else None
-            if check(left, i) if ok is None else ok:
-                last[end + 1], size[end + 1] = i, length
+            left = last[at - length]
+            ok = pairs(left * many + i) if left >= 0 else alone(i)
+            if ok is None:
+                ok = check(left, i)
+            if ok:
+                last[at], size[at] = i, length
         while done < n:
             done += 1
             if last[done] is None:
@@ -250,27 +253,33 @@ class PieceModel:
             at -= size[at]
         return out[::-1]
 
-    def packed(self, part: str) -> bytes:
-        found = self.parts.get(part)
-        if found is None:
-            ids: list[int] = []
-            for i in self.encode(part):
+    def pack(self, part: str) -> bytes:
+        ids = self.encode(part)
+        if min(ids) < 0:
+            spelled: list[int] = []
+            for i in ids:
                 if i >= 0:
-                    ids.append(i)
+                    spelled.append(i)
                 elif self.bytes_of:
-                    ids += [self.bytes_of[b] for b in chr(-1 - i).encode()]
+                    spelled += [self.bytes_of[b] for b in chr(-1 - i).encode()]
                 else:
-                    ids.append(self.unk)
+                    spelled.append(self.unk)
+            ids = spelled
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def packed(self, part: str) -> bytes:
+        found = self.parts.get(part)
+        if found is None:
             if len(self.parts) > self.limit // 8:
                 self.parts.clear()
-            found = self.parts[part] = struct.pack(f"<{len(ids)}I", *ids)
+            found = self.parts[part] = self.pack(part)
         return found
 
     def packed_word(self, word: str) -> bytes:
         """As ``packed`` for a mark and the word after it, remembered by the word."""
         if len(self.words) > self.limit:
             self.words.clear()
-        found = self.words[word] = self.packed(SPACE + word)
+        found = self.words[word] = self.pack(SPACE + word)
         return found
 
     def encode_text(self, text: str) -> bytes:
