@@ -23,11 +23,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe_count import REMEMBERED, Memo, piece_encoder, pieces, tokenizer_path
+from .bpe_count import Memo, piece_encoder, pieces, tokenizer_path
 from .common import ordered, scratch, texts
 
 MAGIC = b"TSPL1"
 BLOCK = 1 << 16
+#: Pieces a worker remembers with their ids; some 350 MB with the pre-tokens behind them.
+REMEMBERED = 1_200_000
 
 
 def to_planes(ids: np.ndarray, kind: str) -> list[bytes]:
