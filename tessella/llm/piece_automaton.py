@@ -10,7 +10,8 @@ relaxes the best result known at its start:
   remembered. This is exact, still one pass, and tested against the library on whole tables.
 
 A text is cut before each mark of a space that follows another character: no piece has that mark inside, so nothing spans
-the cut. Parts seen before are remembered in a map of bounded size. Characters without a piece become their UTF-8 bytes.
+the cut. For BPE models a new word is also cut between neighbours that stand together in no piece, as no merge spans them
+either: words that differ in their marks share the rest. Parts seen before are remembered in a map of bounded size. Characters without a piece become their UTF-8 bytes.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from operator import add
 
 import ahocorasick
 import numpy as np
@@ -116,6 +118,7 @@ class PieceModel:
         order = {p: -self.score[i] for p, i in self.index.items()}
         self.rank = lambda pair: order.get(pair, NEVER)
         self.words: dict[str, bytes] = {}
+        self.joined = {p[i : i + 2] for p in self.index for i in range(len(p) - 1)}  # neighbours in some piece
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p in self.index)
         # A leading run of marks gives the longest run piece again and again, if all run pieces have one score and none goes on
         # with another character: merging then fills that piece from the left, and nothing can join it.
@@ -279,7 +282,23 @@ class PieceModel:
         """As ``packed`` for a mark and the word after it, remembered by the word."""
         if len(self.words) > self.limit:
             self.words.clear()
-        found = self.words[word] = self.pack(SPACE + word)
+        part = SPACE + word
+        if not self.bpe or word.isalpha():
+            found = self.words[word] = self.pack(part)
+            return found
+        joined = self.joined
+        cuts = [i for i, pair in enumerate(map(add, part, word), 1) if pair not in joined]
+        if not cuts:
+            found = self.pack(part)
+        elif cuts[0] == 1:
+            found = b"".join([self.packed(part[a:b]) for a, b in zip([0, *cuts], [*cuts, None], strict=True)])
+        else:
+            head = word[: cuts[0] - 1]  # a word of its own, as likely as not seen before
+            known = self.words.get(head)
+            if known is None:
+                known = self.words[head] = self.pack(SPACE + head)
+            found = b"".join([known, *(self.packed(part[a:b]) for a, b in zip(cuts, [*cuts[1:], None], strict=True))])
+        self.words[word] = found
         return found
 
     def encode_text(self, text: str) -> bytes:

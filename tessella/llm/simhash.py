@@ -43,6 +43,13 @@ SHARD, LINKS = 4_000, 50_000
 SAMPLE, OFTEN, COMMON = 5_000, 3, 50_000
 MIXERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)
 WIDE = 64 * (1 + len(MIXERS))
+MIXING = np.array(MIXERS, "u8")[:, None]
+#: The lower halves of lanes of 2, 4 and 8 bits.
+LANES = tuple(np.uint64(x) for x in (0x5555555555555555, 0x3333333333333333, 0x0F0F0F0F0F0F0F0F))
+#: Odd, so that no word's hash is lost where it is rolled up.
+ROLL = np.uint64(0xD1342543DE82EF95)
+#: Hashes whose remixes are counted at once: they stay in a processor's cache.
+AT_ONCE = 4080
 #: Sets of fewer common shingles have their share of differing bits counted out; larger ones have the limit's.
 SMALL = 33
 
@@ -81,24 +88,70 @@ def simhash(text: str, size: int = 3) -> int:
 
 
 def shingle_set(text: str, size: int) -> np.ndarray:
-    """The distinct shingle hashes, ascending."""
-    return np.unique(np.concatenate([*shingle_hashes(text, size), np.zeros(0, "u8")])).astype("u8")
+    """The distinct shingle hashes, ascending: each word's XXH64 (words as in ``shingle_hashes``), rolled up over the shingle's words."""
+    words = text.encode().lower().split()
+    if not words:
+        return np.zeros(0, "u8")
+    w = np.fromiter(map(xxhash.xxh64_intdigest, words), "u8", len(words))
+    size = min(size, len(w))
+    n = len(w) - size + 1
+    h = np.zeros(n, "u8")
+    for i in range(size):
+        h *= ROLL
+        h += w[i : i + n]
+    h ^= h >> np.uint64(32)
+    h *= ROLL
+    h ^= h >> np.uint64(29)
+    return np.unique(h)
+
+
+def remixed(h: np.ndarray) -> np.ndarray:
+    """The hashes and seven remixes of them, a row each."""
+    g = np.empty((1 + len(MIXERS), len(h)), "u8")
+    g[0] = h
+    x = g[1:]
+    np.multiply(h ^ (h >> np.uint64(31)), MIXING, out=x)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(MIXERS[0])
+    x ^= x >> np.uint64(32)
+    return g
+
+
+def row_bit_counts(g: np.ndarray) -> np.ndarray:
+    """How many hashes of each row have each bit. Lanes of 2 bits take three hashes, of 4 bits five of those sums, of 8 bits the rest."""
+    k, n = g.shape
+    m = -(-n // 15)
+    if n < 15 * m:
+        g = np.concatenate([g, np.zeros((k, 15 * m - n), "u8")], axis=1)
+    x = g.reshape(k, 3, 5, m)
+    pairs = np.empty((2, k, 3, 5, m), "u8")
+    np.bitwise_and(x, LANES[0], out=pairs[0])
+    np.right_shift(x, np.uint64(1), out=pairs[1])
+    pairs[1] &= LANES[0]
+    x = pairs[:, :, 0] + pairs[:, :, 1]
+    x += pairs[:, :, 2]
+    fours = np.empty((2, *x.shape), "u8")
+    np.bitwise_and(x, LANES[1], out=fours[0])
+    np.right_shift(x, np.uint64(2), out=fours[1])
+    fours[1] &= LANES[1]
+    x = fours[..., 0, :] + fours[..., 1, :]
+    for i in (2, 3, 4):
+        x += fours[..., i, :]
+    bytes_ = np.empty((2, *x.shape), "u8")
+    np.bitwise_and(x, LANES[2], out=bytes_[0])
+    np.right_shift(x, np.uint64(4), out=bytes_[1])
+    bytes_[1] &= LANES[2]
+    # axes: bit 2, bit 1, bit 0 of a place in its byte, row, hashes, byte
+    count = bytes_.view("u1").reshape(2, 2, 2, k, m, 8).sum(axis=4, dtype="u4")
+    return count.transpose(3, 4, 0, 1, 2).reshape(k, 64)
 
 
 def wide_simhash(shingles: np.ndarray) -> bytes:
     """512 bits of a set of shingle hashes: the hash and seven remixes of it. Repeats don't count, as they don't in similarity."""
-    count, n = np.zeros(WIDE, "i8"), len(shingles)
-    for at in range(0, n, STEP):
-        h = shingles[at : at + STEP]
-        for i, m in enumerate((None, *MIXERS)):
-            g = h
-            if m is not None:
-                g = (h ^ (h >> np.uint64(31))) * np.uint64(m)
-                g ^= g >> np.uint64(29)
-                g = g * np.uint64(MIXERS[0])
-                g ^= g >> np.uint64(32)
-            count[64 * i : 64 * i + 64] += bit_counts(g)
-    return np.packbits(2 * count > n, bitorder="little").tobytes()
+    count, n = np.zeros((1 + len(MIXERS), 64), "i8"), len(shingles)
+    for at in range(0, n, AT_ONCE):
+        count += row_bit_counts(remixed(shingles[at : at + AT_ONCE]))
+    return np.packbits(2 * count.reshape(WIDE) > n, bitorder="little").tobytes()
 
 
 class BKTree:

@@ -722,3 +722,37 @@ def test_mixture_meets_its_targets(spark, docs, hard, empty, sf):
     assert {r.doc_id for r in once.select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()} and once.columns == docs.columns
     assert mixing.mix(hard, labels, {"clean": 1.0}, model=model).count() == hard.count()
     assert mixing.mix(empty, labels, {"clean": 1.0}, model=model).count() == 0
+
+
+def test_wide_fingerprints_count_bits_by_rows():
+    rng = np.random.default_rng(7)
+    for n in (0, 1, 2, 14, 15, 16, 255, simhash.AT_ONCE, 2 * simhash.AT_ONCE + 1):
+        h = rng.integers(0, 2**63, n, dtype="u8") * np.uint64(2) + np.uint64(n % 2)
+        rows = simhash.remixed(h)
+        assert rows.shape == (1 + len(simhash.MIXERS), n)
+        want = np.array([[int(((r >> np.uint64(i)) & np.uint64(1)).sum()) for i in range(64)] for r in rows])
+        assert (simhash.row_bit_counts(rows) == want).all()
+        assert simhash.wide_simhash(h) == np.packbits(2 * want.reshape(-1) > n, bitorder="little").tobytes()
+
+
+def test_shingle_sets_tell_order_and_fold_repeats():
+    def one(t):
+        return simhash.shingle_set(t, 5).tolist()
+
+    assert one("") == one(" \n") == []
+    assert len(one("a b")) == 1 and one("a b") == one("A\tb") != one("b a")
+    assert len(one("a b c d e f")) == 2 and len({*one("a b c d e"), *one("b a c d e"), *one("a b c e d")}) == 3
+    assert len(one("x " * 50)) == 1
+
+
+def test_words_that_differ_in_marks_are_encoded_once():
+    import sentencepiece
+
+    m = piece_automaton.PieceModel(piece_automaton.model_path())
+    known = sentencepiece.SentencePieceProcessor(model_file=piece_automaton.model_path())
+    seen, encode = [], m.encode
+    m.encode = lambda part: seen.append(part) or encode(part)
+    texts = ["wordlikething", "wordlikething.", "wordlikething,\nNext", "wordlikething$$$", "\nNext wordlikething.\n", "Ñueco.\nétñ \u2581x.y ...a()."]
+    for t in texts:
+        assert np.frombuffer(m.encode_text(t), "<u4").tolist() == known.encode(t), t
+    assert sum("wordlikething" in p for p in seen) == 1
