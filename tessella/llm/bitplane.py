@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe_count import Memo, piece_encoder, pieces, tokenizer_path
+from .bpe_count import Memo, piece_encoder, tokenizer_path
 from .common import ordered, scratch, texts
 
 MAGIC = b"TSPL1"
@@ -178,10 +178,8 @@ def write_token_ids(docs: DataFrame, out: str, path: str | None = None, end_id:
                 name = f"{root}/.{part:06d}-{uuid.uuid4().hex}"
                 stream = fs.open_output_stream(name)
                 writer = PlaneWriter(stream, kind, block)
-            lists = [pieces(t) for t in ts]
-            memo.learn(lists)
-            for d, x in zip(ids, lists, strict=True):
-                writer.add(d, b"".join([memo.first[x[0]], *map(memo.rest.__getitem__, x[1:]), end]))
+            for d, x in zip(ids, memo.joined(ts), strict=True):
+                writer.add(d, x + end)
             n += len(ids)
         if writer is not None:
             total = writer.close()

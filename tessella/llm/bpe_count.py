@@ -15,7 +15,9 @@ import re
 import struct
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import texts
@@ -27,6 +29,8 @@ RARE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004
 ENDS = frozenset(".,;:!?")
 #: Pieces a worker remembers; about 200 bytes each.
 REMEMBERED = 600_000
+#: By how many ids there are.
+PACK = {n: struct.Struct(f"<{n}I").pack for n in range(64)}
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -47,9 +51,12 @@ def load(path: str):
 
 def pieces(text: str) -> list[str]:
     """Cuts a text at spaces that surely start a pre-token; all pieces but the first have lost that space."""
-    if "  " in text or " \n" in text or "\n " in text or any(c in text for c in RARE):
-        return SAFE.split(text)
-    return text.split(" ")
+    return text.split(" ") if cut_at_spaces(text) else SAFE.split(text)
+
+
+def cut_at_spaces(text: str) -> bool:
+    """Whether every space of a text surely starts a pre-token."""
+    return not ("  " in text or " \n" in text or "\n " in text or any(c in text for c in RARE))
 
 
 class Memo:
@@ -61,16 +68,54 @@ class Memo:
         self.rest: dict[str, object] = {}
 
     def learn(self, lists: list[list[str]]) -> None:
-        if len(self.rest) > self.limit:
-            self.rest.clear()
-        if len(self.first) > self.limit:
-            self.first.clear()
+        self._bound()
         heads = {x[0] for x in lists}.difference(self.first)  # looks each up; a difference of key views would walk the map
         new = set().union(*lists).difference(self.rest)
         for where, keys, lead in ((self.first, list(heads), ""), (self.rest, list(new), " ")):
             if keys:
                 where.update(zip(keys, self.many(keys, lead), strict=True))
 
+    def _bound(self) -> None:
+        if len(self.rest) > self.limit:
+            self.rest.clear()
+        if len(self.first) > self.limit:
+            self.first.clear()
+
+    def joined(self, ts: list[str]) -> list[bytes]:
+        """The values (bytes) of each text's pieces, joined.
+
+        Arrow cuts the texts, numbers their distinct pieces and puts the values in place, so that Python meets each piece once a batch.
+        """
+        out = [b""] * len(ts)
+        even = [i for i, t in enumerate(ts) if cut_at_spaces(t)]
+        if even:
+            self._bound()
+            cut = pc.split_pattern(pa.array([ts[i] for i in even], pa.large_string()), " ")
+            flat, at = cut.flatten(), cut.offsets.to_numpy()
+            heads = flat.take(cut.offsets[:-1]).to_pylist()
+            new = list(set(heads).difference(self.first))
+            self.first.update(zip(new, self.many(new, ""), strict=True))
+            coded = flat.dictionary_encode()
+            distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # to_pylist takes nine times as long
+            values = list(map(self.rest.get, distinct))
+            if None in values:
+                new = [k for k, v in zip(distinct, values, strict=True) if v is None]
+                learned = self.many(new, " ")
+                self.rest.update(zip(new, learned, strict=True))
+                take = iter(learned)
+                values = [next(take) if v is None else v for v in values]
+            placed = pa.array(values, pa.large_binary()).take(coded.indices)
+            raw, ends = memoryview(placed.buffers()[2] or b""), np.frombuffer(placed.buffers()[1], "i8")[placed.offset :]
+            for i, head, a, b in zip(even, heads, ends[at[:-1] + 1].tolist(), ends[at[1:]].tolist(), strict=True):
+                out[i] = self.first[head] + raw[a:b]
+        if len(even) < len(ts):
+            odd = sorted(set(range(len(ts))).difference(even))
+            lists = [pieces(ts[i]) for i in odd]
+            self.learn(lists)
+            for i, x in zip(odd, lists, strict=True):
+                out[i] = b"".join([self.first[x[0]], *map(self.rest.__getitem__, x[1:])])
+        return out
+
 
 def whole_tokens(path: str) -> frozenset[str]:
     """The vocabulary strings that are one pre-token and encode alone as exactly their own id."""
@@ -146,10 +191,12 @@ def piece_encoder(path: str, limit: int) -> Callable[[list[str]], list[bytes]]:
     merge = merger(t)
     special = [x.content for x in t.get_added_tokens_decoder().values()]
     cut = regex.compile(public_tokenizers.PATTERN).findall
+    tokenize, known = t.model.tokenize, PACK.get
     merged: dict[str, bytes] = {}
 
     def packed(ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}I", *ids)
+        pack = known(len(ids))
+        return pack(*ids) if pack else struct.pack(f"<{len(ids)}I", *ids)
 
     def one(p: str) -> bytes:
         b = merged.get(p)
@@ -161,10 +208,17 @@ def piece_encoder(path: str, limit: int) -> Callable[[list[str]], list[bytes]]:
         if len(merged) > limit:
             merged.clear()
         out = []
+        spelled = {"": "", " ": "Ġ"}.get(lead)
         for s in strings:
             if s.isalpha():  # one pre-token
-                out.append(one(lead + s))
-            elif s[:-1].isalpha() and s[-1] in ENDS:  # two
+                b = merged.get(p := lead + s)
+                if b is None:
+                    # ASCII letters are spelled as they are; most new pieces are such words
+                    ids = [x.id for x in (tokenize(spelled + s) if spelled is not None and s.isascii() else merge(p))]
+                    pack = known(len(ids))
+                    b = merged[p] = pack(*ids) if pack else packed(ids)
+                out.append(b)
+            elif s[-1:] in ENDS and s[:-1].isalpha():  # two
                 out.append(one(lead + s[:-1]) + one(s[-1]))
             elif special and any(x in s for x in special):
                 out.append(packed(t.encode(lead + s, add_special_tokens=False).ids))

@@ -756,3 +756,19 @@ def test_words_that_differ_in_marks_are_encoded_once():
     for t in texts:
         assert np.frombuffer(m.encode_text(t), "<u4").tolist() == known.encode(t), t
     assert sum("wordlikething" in p for p in seen) == 1
+
+
+def test_pieces_of_a_batch_are_looked_up_once_and_placed_in_order():
+    path = bpe_count.tokenizer_path()
+    library = bpe_count.load(path)
+    texts = [t or "" for t in HARD] + ["word word. word, Straße\nnext word$$$  x", "a  b \n c", " led and ended ", "word", "Straße word. word"] * 3
+    encode = bpe_count.piece_encoder(path, 5)
+    for limit in (5, 1000):
+        asked = []
+        memo = bpe_count.Memo(lambda keys, lead: asked.extend((lead, k) for k in keys) or encode(keys, lead), limit)
+        for _ in range(2):
+            for t, ids in zip(texts, memo.joined(texts), strict=True):
+                assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
+        if limit == 1000:
+            assert len(asked) == len(set(asked))
+    assert memo.joined([]) == []
