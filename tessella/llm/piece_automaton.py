@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import texts
+from .common import remembered, texts
 
 SPACE = "▁"
 CUT = re.compile(f"(?<=[^{SPACE}])(?={SPACE})")
@@ -317,7 +317,7 @@ class PieceModel:
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
-_MODELS: dict[str, PieceModel] = {}
+_MODELS: dict[str, PieceModel] = remembered()
 
 
 def model(path: str) -> PieceModel:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, written
+from .common import forget, texts, written
 
 #: The bound on labelled rows used for fitting.
 MAX_ROWS = 6_000
@@ -334,6 +334,7 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, threshold: float = TH
     def scored(items):
         import pandas as pd
 
+        forget()
         return pd.Series(model.score([t or "" for t in items]), dtype="float64")
 
     scored = scored.asNondeterministic()  # else a filter on the score would run it again beside the projection

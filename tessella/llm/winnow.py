@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_KEY, texts, written
+from .common import NULL_KEY, forget, texts, written
 
 MIN_WORDS = 50
 #: A key of more rows than this is joined in as many salted shares as it needs.
@@ -86,6 +86,7 @@ def selected_rows(docs: DataFrame, min_words: int) -> DataFrame:
     names = ["_doc", "_ver", "at", "print", "lo", "lines", "sizes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for ids, ts in texts(batches, "doc_id", "text"):
             doc, ver, place, prints, low, ends = [], [], [], [], [], [0]
             lines: list[int] = []
@@ -115,6 +116,7 @@ def extended(positions: DataFrame, min_words: int) -> DataFrame:
     """_doc, _ver, first, last, content of the windows around joined positions: those that selected the position, named by the hash of their lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
             out: list[tuple] = []
             ends, flat = b.column("lines").offsets.to_numpy(), b.column("lines").values.to_numpy()
@@ -171,12 +173,14 @@ def delete_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFr
     def version(t):
         import pandas as pd
 
+        forget()
         return pd.Series([signed(xxhash.xxh3_64_intdigest(x or "")) for x in t])
 
     @F.pandas_udf("text string, removed_lines int, removed_words int")
     def cut(t, spans):
         import pandas as pd
 
+        forget()
         return pd.DataFrame([cut_spans(x, s) for x, s in zip(t, spans, strict=True)], columns=["text", "removed_lines", "removed_words"])
 
     version, cut = version.asNondeterministic(), cut.asNondeterministic()  # computed once, not once a use

@@ -1,8 +1,13 @@
 """The pipeline end to end on small tables."""
 
+import gc
+import weakref
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tessella.llm import piece_automaton, winnow
 from tessella.llm.common import scratch, table
 
 
@@ -36,3 +41,33 @@ def test_empty_documents(spark):
         assert at.count() == 0
         if "lossless" not in at.columns:
             at = spark.createDataFrame([], at.schema)
+
+
+class InThisProcess:
+    """Stands for a DataFrame whose tasks run here, as one worker process runs those of all stages."""
+
+    def __init__(self, batch):
+        self.batch = batch
+
+    def select(self, *names):
+        return InThisProcess(self.batch.select(names))
+
+    def mapInArrow(self, run, schema):
+        return list(run(iter([self.batch])))
+
+
+def test_line_dedup_frees_what_the_encoder_remembers():
+    texts = ["one two three\nfour five", "six seven\none two three"]
+    docs = InThisProcess(pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2], pa.int64()), "text": pa.array(texts)}))
+    codes = piece_automaton.piece_codes(docs, ids=True)
+    kept = weakref.ref(piece_automaton.model(piece_automaton.model_path()))
+    assert kept().words
+    (rows,) = winnow.selected_rows(docs, 2)
+    gc.collect()
+    assert kept() is None
+    assert rows.column("_doc").to_pylist() == [1, 1, 2, 2]
+    assert piece_automaton.piece_codes(docs, ids=True) == codes
+    kept = weakref.ref(piece_automaton.model(piece_automaton.model_path()))
+    winnow.extended(InThisProcess(rows), 2)
+    gc.collect()
+    assert kept() is None
