@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.paths import base_name, is_test
@@ -22,17 +22,34 @@ def unique_calls(calls: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFr
 
 def nearest_candidates(calls: DataFrame, nodes: DataFrame) -> DataFrame:
     """source, target for names with several candidates: tests call tests and others others, then the same file, the same folder,
-    the one longest common prefix; a tie at the best level gives nothing."""
-    cand = nodes.where("file_type = 'code'").select(callable_name(F.col("label")).alias("name"), F.col("id").alias("target"), F.coalesce("source_file", F.lit("")).alias("file")).where("name <> ''")
-    j = calls.select("caller", callable_name(F.col("callee")).alias("name"), F.coalesce("source_file", F.lit("")).alias("site")).distinct().join(cand, "name").where("caller <> target")
-    parts = lambda c: F.split(F.regexp_replace(c, r"/?[^/]*$", ""), "/")
-    a, b = parts(F.col("site")), parts(F.col("file"))
-    both = F.least(F.size(a), F.size(b))
-    prefix = F.size(F.filter(F.sequence(F.lit(1), both), lambda n: F.slice(a, F.lit(1), n) == F.slice(b, F.lit(1), n)))
-    level = F.when(F.col("file") == F.col("site"), 1_000_000).when(a == b, 500_000).otherwise(prefix)
-    fair = j.where(is_test(F.col("site")) | ~is_test(F.col("file"))).select("caller", "name", "target", level.alias("level"))
-    w = Window.partitionBy("caller", "name").orderBy(F.desc("level"))
-    top = fair.withColumn("r", F.rank().over(w)).where("r = 1").groupBy("caller", "name").agg(F.min("target").alias("target"), F.max("target").alias("z"))
+    the one longest common prefix; a tie at the best level gives nothing.
+
+    Candidates of a name are summed up by file, folder and each leading folder, so a call meets as many rows as its path has
+    segments, not all candidates. The smallest, the largest and whether there are more tell if one is left without the caller.
+    """
+    cand = nodes.where("file_type = 'code'").select(callable_name(F.col("label")).alias("name"), F.col("id").alias("target"), F.coalesce("source_file", F.lit("")).alias("file")).where("name <> '' and target is not null").distinct()
+    sites = calls.select("caller", callable_name(F.col("callee")).alias("name"), F.coalesce("source_file", F.lit("")).alias("site")).where("caller is not null and name <> ''")
+
+    def levels(path: Column) -> Column:
+        parts = F.split(F.regexp_replace(path, r"/?[^/]*$", ""), "/")
+        leading = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.struct(n.alias("level"), F.array_join(F.slice(parts, F.lit(1), n), "/").alias("key")))
+        near = F.array(F.struct(F.lit(1_000_000).alias("level"), path.alias("key")), F.struct(F.lit(500_000).alias("level"), F.array_join(parts, "/").alias("key")))
+        return F.concat(near, leading)
+
+    each = cand.groupBy("name", "file").agg(F.min("target").alias("lo"), F.max("target").alias("hi"), F.count("*").alias("n"))
+    ends = each.select("name", "file", F.explode(F.array("lo", "hi")).alias("target"), (F.col("n") > 2).alias("more"))
+    # a test's call sees all candidates, any other only those outside tests
+    seen = ends.select("name", "file", "target", "more", F.explode(F.when(is_test(F.col("file")), F.array(F.lit(True))).otherwise(F.array(F.lit(True), F.lit(False)))).alias("test"))
+    group = seen.select("name", "test", "target", "more", F.inline(levels(F.col("file")))).groupBy("name", "test", "level", "key").agg(F.min("target").alias("lo"), F.max("target").alias("hi"), F.countDistinct("target").alias("n"), F.max("more").alias("more"))
+    asked = sites.select("name", "site").distinct()
+    asked = asked.select("name", "site", is_test(F.col("site")).alias("test"), F.inline(levels(F.col("site"))))
+    met = asked.join(group, ["name", "test", "level", "key"]).groupBy("name", "site").agg(F.sort_array(F.collect_list(F.struct("level", "lo", "hi", F.when(F.col("more"), 3).otherwise(F.least("n", F.lit(3))).alias("n"))), asc=False).alias("near"))  # a row a level
+    left = F.element_at(F.filter("near", lambda x: (x["n"] > 1) | (x["lo"] != F.col("caller"))), 1)
+    two = F.col("m.n") == 2
+    lo = F.when(two & (F.col("m.lo") == F.col("caller")), F.col("m.hi")).otherwise(F.col("m.lo"))
+    hi = F.when(two & (F.col("m.hi") == F.col("caller")), F.col("m.lo")).otherwise(F.col("m.hi"))
+    best = sites.join(met, ["name", "site"]).where(F.exists("near", lambda x: (x["n"] > 1) | (x["lo"] != F.col("caller")))).select("caller", "name", left.alias("m")).select("caller", "name", F.col("m.level").alias("level"), lo.alias("lo"), hi.alias("hi"))
+    top = best.groupBy("caller", "name").agg(F.min(F.struct((-F.col("level")).alias("l"), "lo"))["lo"].alias("target"), F.max(F.struct("level", "hi"))["hi"].alias("z"))
     return top.where("target = z").select(F.col("caller").alias("source"), "target").distinct()
 
 

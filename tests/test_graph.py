@@ -191,6 +191,41 @@ def test_calls_resolve_only_to_one_candidate(spark):
     assert ("a", "b") in rows(calls.nearest_candidates(c, n), "source", "target")
 
 
+def test_nearest_candidates_equal_all_pairs(spark):
+    """Against every pair of call and candidate."""
+    import random
+
+    from tessella.functions.paths import is_test
+
+    pick = random.Random(5)
+    files = ["a/b/c.py", "a/b/d.py", "a/e.py", "a/b/f/g.py", "tests/a.py", "a/tests/b.py", "z.py", "", None, "/r/x.py"]
+    n = [(f"n{pick.randrange(60)}", f"f{pick.randrange(25)}()", pick.choice(files), "code") for _ in range(90)]
+    c = sorted({(f"n{pick.randrange(60)}", f"F{pick.randrange(25)}", pick.choice(files)) for _ in range(500)}, key=repr)
+    nodes, sites = spark.createDataFrame(n, "id string, label string, source_file string, file_type string"), spark.createDataFrame(c, "caller string, callee string, source_file string")
+    test = {r.f: r.t for r in spark.createDataFrame([(f or "",) for f in files], "f string").select("f", is_test("f").alias("t")).collect()}
+    folder = lambda f: f.rsplit("/", 1)[0].split("/") if "/" in f else [""]
+
+    def level(a, b):
+        x, y = folder(a), folder(b)
+        same = next((i for i, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+        return 1_000_000 if a == b else 500_000 if x == y else same
+
+    best = {}
+    for caller, callee, site in c:
+        for i, label, file, _ in n:
+            if label == callee.lower() + "()" and i != caller and (test[site or ""] or not test[file or ""]):
+                best.setdefault((caller, callee), []).append((level(site or "", file or ""), i))
+    want = {(k[0], min(i for _, i in v)) for k, v in best.items() for top in [max(v)[0]] if len({i for x, i in v if x == top}) == 1 for v in [[y for y in v if y[0] == top]]}
+    assert want and set(rows(calls.nearest_candidates(sites, nodes), "source", "target")) == want
+
+
+def test_nearest_calls_of_names_with_many_candidates_make_no_pairs(spark):
+    many = spark.range(20_000).selectExpr("concat('p', id) id", "concat('f', id % 2, '()') label", "concat('lib/f', id % 40, '.py') source_file", "'code' file_type")
+    sites = spark.range(20_000).selectExpr("concat('s', id) caller", "concat('f', id % 2) callee", "concat('lib/f', id % 40, '.py') source_file")
+    # 200 million pairs in all
+    assert calls.nearest_candidates(sites, many).count() == 0
+
+
 def test_path_tails_match_both_ways(spark):
     r = spark.createDataFrame([(1, ["repo/src/a.py"]), (2, ["a.py"]), (3, ["ba.py", None])], "number long, files array<string>")
     n = spark.createDataFrame([("x", "src/a.py", 1), ("y", "src/a.py", 2), ("z", "b/c.py", 3)], "id string, source_file string, community int")
