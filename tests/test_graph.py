@@ -261,3 +261,29 @@ def test_labels_of_one_community_merge_at_a_lower_score(spark):
         assert fuzzy_pairs(candidates(own)).count() == merged
     kept, _, remap = resolve_entities(nodes.selectExpr("*", "7 as community"), edges.selectExpr("*", "'x' as relation"))
     assert [tuple(r) for r in remap.collect()] == [("b", "a")] and kept.count() == 1
+
+
+def test_large_graphs_are_detected_by_passes_over_their_links(spark, monkeypatch):
+    """Rings of cliques above the driver's bound, ended on the driver and not: the cliques, as the driver finds them."""
+    from tessella.operators import spread
+
+    pairs = [(f"{g:02d}-{i}", f"{g:02d}-{j}") for g in range(30) for i in range(8) for j in range(i)] + [(f"{g:02d}-0", f"{(g + 1) % 30:02d}-1") for g in range(30)]
+    n, e = graph(spark, pairs, ["lone"])
+    want = rows(community.communities(n, e), "id", "community")
+    monkeypatch.setattr(community, "LOCAL", 50)
+    for small in (spread.SMALL, (0, 0)):
+        monkeypatch.setattr(spread, "SMALL", small)
+        got = rows(community.communities(n, e), "id", "community")
+        assert [x for x, _ in got] == [x for x, _ in want] and len({c for _, c in got}) == 31
+        if small[0]:
+            assert got == want
+    with pytest.raises(ValueError, match="limited"):
+        community.communities(n, e, local=50)
+
+
+def test_a_loose_community_is_split_by_passes_as_on_the_driver(spark, monkeypatch):
+    ring = [(f"r{i:03d}", f"r{(i + 1) % 120:03d}") for i in range(120)]
+    n, e = graph(spark, [*ring, *((f"k{i}", f"k{j}") for i in range(6) for j in range(i))])
+    monkeypatch.setattr(community, "LOCAL", 50)
+    got = rows(community.communities(n, e), "id", "community")
+    assert len({c for x, c in got if x[0] == "k"}) == 1 and 5 <= len({c for x, c in got if x[0] == "r"}) <= 40
