@@ -287,3 +287,27 @@ def test_a_loose_community_is_split_by_passes_as_on_the_driver(spark, monkeypatc
     monkeypatch.setattr(community, "LOCAL", 50)
     got = rows(community.communities(n, e), "id", "community")
     assert len({c for x, c in got if x[0] == "k"}) == 1 and 5 <= len({c for x, c in got if x[0] == "r"}) <= 40
+
+
+def test_label_rounds_equal_their_definition(spark):
+    import random
+
+    pick = random.Random(2)
+    pairs = sorted({tuple(sorted(pick.sample([f"v{i:02d}" for i in range(40)], 2))) for _ in range(70)})
+    n, e = graph(spark, pairs)
+    turn = {r.id: r.t for r in n.selectExpr("id", "pmod(xxhash64(id), 2) t").collect()}
+    label, near = {x: x for x in turn}, {x: [b if a == x else a for a, b in pairs if x in (a, b)] for x in turn}
+    for i in range(12):
+        votes = {x: {} for x in near}
+        for x, ys in near.items():
+            for y in ys:
+                votes[x][label[y]] = votes[x].get(label[y], 0) + 1
+        new = {x: min(v, key=lambda c: (-v[c], c)) if turn[x] == i % 2 else label[x] for x, v in votes.items()}
+        if i % 2 and new == label:
+            break
+        label = new
+    groups = {}
+    for x in sorted(label):
+        groups.setdefault(label[x], []).append(x)
+    want = {x: k for k, g in enumerate(sorted(groups.values(), key=lambda g: (-len(g), g))) for x in g}
+    assert dict(rows(community.communities(n, e, method="labels"), "id", "community")) == want
