@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.plans.materialize import width
+
 FILE_TYPES = {"code": "code source script", "document": "document doc documentation markdown text", "paper": "paper article publication", "image": "image figure diagram", "rationale": "rationale reason"}
 CONFIDENCES = ("EXTRACTED", "INFERRED", "AMBIGUOUS")
 
@@ -147,8 +149,10 @@ def graph_diff(old_nodes: DataFrame, old_edges: DataFrame, new_nodes: DataFrame,
 
 def same_topology(a: DataFrame, b: DataFrame, columns: list[str]) -> bool:
     """Whether two record tables are equal as multisets over the columns."""
-    x, y = a.select(*columns), b.select(*columns)
-    return not x.exceptAll(y).take(1) and not y.exceptAll(x).take(1)
+    side = lambda df, sign: df.select(*columns, F.lit(sign).alias("_s"))
+    both = side(a, 1).union(side(b, -1))
+    counts = both.repartition(width(both.sparkSession), *columns).groupBy(*columns).agg(F.sum("_s").alias("_n"))
+    return not counts.where("_n <> 0").take(1)
 
 
 def fingerprint(df: DataFrame, columns: list[str]) -> str:
