@@ -289,6 +289,12 @@ def test_a_loose_community_is_split_by_passes_as_on_the_driver(spark, monkeypatc
     assert len({c for x, c in got if x[0] == "k"}) == 1 and 5 <= len({c for x, c in got if x[0] == "r"}) <= 40
 
 
+def test_files_are_matched_once_a_path(spark):
+    r = spark.createDataFrame([(i, ["repo/src/a.py", "repo/src/a.py", None, ""] if i % 2 else ["b.py", "src/a.py"]) for i in range(1, 7)], "number long, files array<string>")
+    n = spark.createDataFrame([("x", "src/a.py", 1), ("y", "lib/b.py", 2), ("z", "lib/b.py", None)], "id string, source_file string, community int")
+    assert rows(impact.conflicts(r, n), "community", "n", "first", "last") == [(1, 6, 1, 6), (2, 3, 2, 6)]
+
+
 def test_label_rounds_equal_their_definition(spark):
     import random
 
