@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.paths import base_name
+from tessella.plans.materialize import width, written
 
 from .prepare import running_top
 from .rank import score_nodes, searchable, tokens_of
@@ -52,10 +55,10 @@ def path_answer(nodes: DataFrame, edges: DataFrame, source: str, target: str, ma
 
 
 def trigrams(nodes: DataFrame) -> DataFrame:
-    """gram, id: an inverted index of the three-letter pieces of labels, bare names and source files; bucket it by gram when written."""
-    s = searchable(nodes).select("id", F.explode(F.array_distinct(F.array("norm", "bare", "src", F.lower("id")))).alias("t")).where(F.length("t") >= 3)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - 2), lambda i: F.substring("t", i, F.lit(3))))
-    return s.select("id", F.explode(grams).alias("gram")).distinct().select("gram", "id")
+    """gram, id (twice only for an id of several nodes): an inverted index of the three-letter pieces of labels, bare names and source files; bucket it by gram when written."""
+    texts = F.filter(F.array("norm", "bare", "src", F.lower("id")), lambda t: F.length(t) >= 3)
+    grams = F.flatten(F.transform(texts, lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.substring(t, i, F.lit(3)))))
+    return searchable(nodes).select(F.explode(F.array_distinct(grams)).alias("gram"), "id")
 
 
 def candidates(nodes: DataFrame, index: DataFrame, needles: list[str], share: float = 0.10) -> DataFrame | None:
@@ -71,7 +74,9 @@ def candidates(nodes: DataFrame, index: DataFrame, needles: list[str], share: fl
         return nodes.select("id").where("false")
     asked = nodes.sparkSession.createDataFrame(sorted(set(pairs)), "k int, gram string")
     hit = index.join(F.broadcast(asked), "gram")  # the needles' few trigrams
-    often = {(r.k, r.gram): r.n for r in hit.groupBy("k", "gram").agg(F.count("*").alias("n")).collect()}
+    # a row an id, gathered after a shuffle: the few tasks that read the nodes hold nothing
+    own = written(hit.repartition(width(nodes.sparkSession), "id").groupBy("id").agg(F.collect_set(F.struct("k", "gram")).alias("g")), "grams")
+    often = {(r.k, r.gram): r.n for r in own.select(F.inline("g")).groupBy("k", "gram").agg(F.count("*").alias("n")).collect()}
     most = int(nodes.count() * share)
     sizes: dict[int, set[str]] = {}
     for k, g in pairs:
@@ -80,8 +85,11 @@ def candidates(nodes: DataFrame, index: DataFrame, needles: list[str], share: fl
         present = [often[k, g] for g in grams if (k, g) in often]
         if present and min(present) > most:
             return None
-    need = nodes.sparkSession.createDataFrame([(k, len(g)) for k, g in sizes.items()], "k int, need long")
-    return hit.groupBy("k", "id").agg(F.count("*").alias("n")).join(F.broadcast(need), "k").where("n = need").select("id").distinct()
+
+    def whole(k: int) -> Column:
+        return F.size(F.filter("g", lambda x: x["k"] == k)) == len(sizes[k])
+
+    return own.where(reduce(Column.__or__, map(whole, sizes))).select("id")
 
 
 def score_by_index(nodes: DataFrame, index: DataFrame, terms: list[str]) -> DataFrame:

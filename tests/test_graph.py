@@ -317,3 +317,13 @@ def test_label_rounds_equal_their_definition(spark):
         groups.setdefault(label[x], []).append(x)
     want = {x: k for k, g in enumerate(sorted(groups.values(), key=lambda g: (-len(g), g))) for x in g}
     assert dict(rows(community.communities(n, e, method="labels"), "id", "community")) == want
+
+
+def test_trigrams_are_made_without_a_shuffle(spark):
+    from tessella.operators import answers
+
+    n, _ = graph(spark, [("alpha", "beta")])
+    index = answers.trigrams(n)
+    assert "Exchange" not in index._jdf.queryExecution().executedPlan().toString()
+    twice = n.union(n)
+    assert rows(answers.candidates(twice, answers.trigrams(twice), ["alpha", "bet"], 2.0), "id") == [("alpha",), ("beta",)]
