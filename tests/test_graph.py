@@ -289,6 +289,26 @@ def test_a_loose_community_is_split_by_passes_as_on_the_driver(spark, monkeypatc
     assert len({c for x, c in got if x[0] == "k"}) == 1 and 5 <= len({c for x, c in got if x[0] == "r"}) <= 40
 
 
+def test_shared_steps_keep_odd_rows(spark):
+    """Nulls, loops, repeated ids and blank ends in what diagnostics, validation and comparison gather after one shuffle."""
+    n = spark.createDataFrame([("a", "A", "code", "s", 0), ("a", "A", "code", "s", 0), ("b", "B", "code", "s", 0)], NODE)
+    e = spark.createDataFrame([(s, t, k, r, "EXTRACTED", None, 1.0, x, "f") for s, t, k, r, x in [("a", "b", "1", "r", None), ("b", "a", "2", "r", "x"), ("a", "b", "3", "q", "x"), ("a", "a", "4", "r", None), (None, "a", "5", "r", None), ("a", None, "6", "r", None), ("z", "b", "7", "r", None), (" ", "b", "8", "r", None), ("z", "z", "9", "r", None)]], EDGE)
+    got = topology.collapse_risk(n, e).first().asDict()
+    # a node that is there twice doesn't make its edges more
+    assert got == {"edges": 9, "dangling": 5, "self_loops": 2, "directed_pairs": 8, "directed_collapse": 1, "parallel_groups": 1, "relation_groups": 1, "confidence_groups": 0, "context_groups": 0, "largest_group": 2, "undirected_pairs": 5, "undirected_collapse": 4}
+    bad = rows(merge.violations(n, e), "rule", "subject")
+    assert [x for x in bad if x[0].startswith("dangling")] == [("dangling source", "z"), ("dangling source", "z"), ("dangling target", "z")]
+    assert merge.same_topology(e, e.repartition(2), ["source", "target", "context"]) and not merge.same_topology(e, e.union(e.limit(1)), ["source", "target", "context"])
+
+
+def test_diagnostics_and_validation_do_not_shuffle_the_edges_more_than_once(spark):
+    n, e = graph(spark, [("a", "b"), ("b", "c")])
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(topology.collapse_risk(n, e)).count("Exchange hashpartitioning") == 1
+    p = plan(merge.violations(n, e))
+    assert "SortMergeJoin" not in p and "BroadcastHashJoin" in p
+
+
 def test_files_are_matched_once_a_path(spark):
     r = spark.createDataFrame([(i, ["repo/src/a.py", "repo/src/a.py", None, ""] if i % 2 else ["b.py", "src/a.py"]) for i in range(1, 7)], "number long, files array<string>")
     n = spark.createDataFrame([("x", "src/a.py", 1), ("y", "lib/b.py", 2), ("z", "lib/b.py", None)], "id string, source_file string, community int")
