@@ -17,22 +17,22 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", most_roun
     """
     spark = links.sparkSession
     both = links.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null")
-    stars = both.where("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
+    stars = both.where("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"))
     path = scratch(spark, "components")
-    stars.write.parquet(f"{path}/0")
     before = None
     for i in range(most_rounds):
-        e = spark.read.parquet(f"{path}/{i}")
-        two = e.select(F.col("u").alias("x"), F.col("v").alias("y")).union(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        least = two.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = two.where("y > x").join(least, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
+        e = spark.read.parquet(f"{path}/{i}") if i else stars
+        # only links to smaller nodes (u > v) can hold a node's smallest; without any it is its own
+        least = e.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
+        large = e.join(least, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
         large.write.parquet(f"{path}/large{i}")
         large = spark.read.parquet(f"{path}/large{i}")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
         small.write.parquet(f"{path}/{i + 1}")
         drop(spark, f"{path}/large{i}")
-        drop(spark, f"{path}/{i}")
+        if i:
+            drop(spark, f"{path}/{i}")
         state = tuple(spark.read.parquet(f"{path}/{i + 1}").agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:
             break
