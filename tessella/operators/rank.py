@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from tessella.functions.paths import category, cross_language, top_dir
 from tessella.functions.text import bare_name, plain
+from tessella.plans.materialize import written
 
-from .topology import context_edges, distinct_degree, envelope_text, is_concept, is_file_node
+from .topology import both_ways, context_edges, distinct_degree, envelope_text, is_concept, is_file_node
 from .traverse import expand
 
 STOP = frozenset("a about and are does do for from how in is it of on the this to what when where which who why with".split())
@@ -116,15 +117,14 @@ def resolve_seed(nodes: DataFrame, query: str) -> str | None:
     return next((row[f"m{i}"] for i in range(len(tiers)) if row[f"n{i}"] == 1), None)
 
 
-def render(nodes: DataFrame, edges: DataFrame, visited: DataFrame, budget: int = 2000) -> DataFrame:
+def render(nodes: DataFrame, edges: DataFrame, visited: DataFrame, budget: int = 2000, pairs: DataFrame | None = None) -> DataFrame:
     """Lines of a subgraph by (degree, id), then its edges, cut where three characters a token are used up: pos, line."""
-    d = distinct_degree(nodes, edges)
+    d = distinct_degree(nodes, edges, pairs)
     n = visited.select("id").join(nodes, "id").join(d, "id")
     node_line = F.concat(F.lit("NODE "), F.coalesce("label", "id"), F.lit(" [src="), F.coalesce("source_file", F.lit("")), F.lit("]"))
     a = n.select(F.lit(0).alias("part"), (-F.col("degree")).alias("rank"), F.col("id").alias("tie"), node_line.alias("line"))
-    t = envelope_text(edges)
     ids = visited.select("id").distinct()
-    inner = t.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi")
+    inner = envelope_text(edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi"))
     b = inner.select(F.lit(1).alias("part"), F.lit(0).cast("long").alias("rank"), F.concat_ws("\u001f", "a", "b").alias("tie"), F.concat(F.lit("EDGE "), "a", F.lit(" --"), "text", F.lit("-- "), "b").alias("line"))
     order = Window.orderBy("part", "rank", "tie")
     # a line has 13 characters at least, so no more than this many can be shown: the window sees a bounded, already ordered head
@@ -137,8 +137,9 @@ def answer(nodes: DataFrame, edges: DataFrame, question: str, depth: int = 3, bu
     """A question end to end: terms, scores over the whole graph, seeds, context filter, expansion, rendering."""
     start = seeds(score_nodes(nodes, query_terms(question)))
     e = context_edges(edges, context_filters(contexts) or infer_contexts(question))
-    visited, _ = expand(nodes, e, start, depth)
-    return render(nodes, e, visited, budget)
+    pairs = written(both_ways(e).distinct(), "near")
+    visited, _ = expand(nodes, e, start, depth, pairs=pairs)
+    return render(nodes, e, visited, budget, pairs)
 
 
 def surprises(nodes: DataFrame, edges: DataFrame, top: int | None = 5) -> DataFrame:

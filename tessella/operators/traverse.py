@@ -26,16 +26,17 @@ def hub_gate(degrees: DataFrame, floor: int = 50) -> int:
     return max(floor, int(at))
 
 
-def expand(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 3, gated: bool = True) -> tuple[DataFrame, DataFrame]:
+def expand(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 3, gated: bool = True, pairs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Breadth-first expansion: (id, level) and (level, source, target).
 
     A layer becomes visited only when it is complete, so a node met from two parents of one layer gives two edges. Nodes that
-    aren't seeds and have at least the gate's degree are reported but not expanded.
+    aren't seeds and have at least the gate's degree are reported but not expanded. ``pairs``: both ways of the edges, distinct.
     """
-    near = written(both_ways(edges).where("a <> b").distinct(), "near")  # every level reads it, none builds it again
+    pairs = written(both_ways(edges).distinct(), "near") if pairs is None else pairs  # every level and the degrees read it, none builds it again
+    near = pairs.where("a <> b")
     closed = None
     if gated:
-        degrees = written(distinct_degree(nodes, edges), "degrees")
+        degrees = written(distinct_degree(nodes, edges, pairs), "degrees")
         closed = written(degrees.where(F.col("degree") >= hub_gate(degrees)).select("id"), "hubs")
     visited = written(seeds.select("id").distinct().withColumn("level", F.lit(0)), "bfs")
     found = None
