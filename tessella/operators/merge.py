@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tessella.plans.materialize import width
 
+from .topology import missing_ends
+
 FILE_TYPES = {"code": "code source script", "document": "document doc documentation markdown text", "paper": "paper article publication", "image": "image figure diagram", "rationale": "rationale reason"}
 CONFIDENCES = ("EXTRACTED", "INFERRED", "AMBIGUOUS")
 
@@ -31,8 +33,9 @@ def violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     found.append(nodes.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("duplicate node id").alias("rule"), F.col("id").alias("subject")))
     found += [edges.where(blank(c)).select(F.lit(f"edge without {c}").alias("rule"), e.alias("subject")) for c in ("source", "target", "relation", "confidence")]
     found.append(edges.where(~F.col("confidence").isin(*CONFIDENCES)).select(F.lit("unknown confidence").alias("rule"), e.alias("subject")))
+    lost = missing_ends(nodes, edges)
     for end in ("source", "target"):
-        gone = edges.where(~blank(end)).join(nodes.select(F.col("id").alias(end)), end, "left_anti")
+        gone = edges.where(~blank(end)).join(lost.select(F.col("id").alias(end)), end, "left_semi")
         found.append(gone.select(F.lit(f"dangling {end}").alias("rule"), F.col(end).alias("subject")))
     return combine(*found)
 
